@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, packing, quality, secrets, simhash
+from . import fingerprints, language, packing, quality, repeats, secrets, simhash
 from .common import fold_of
 
 
@@ -24,6 +24,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_repeats(_read(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_read(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_secret_scan, op4_best_fit_packing, op5_language_id, op9_order_minhash, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_secret_scan, op4_best_fit_packing, op5_language_id, op9_order_minhash, op10_simhash_neardup)}
 ORACLE_SQL: dict[str, str] = {}
