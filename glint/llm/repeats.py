@@ -31,9 +31,9 @@ from .common import id_text
 
 MATCH, KMER = 50, 24
 #: Documents in a chunk, and chunks for each group of anchors.
-CHUNK, GROUP = 1000, 4
+CHUNK, GROUP = 1000, 2
 #: Window starts that are worked on at a time.
-STEP = 1 << 21
+STEP = 1 << 20
 
 _A = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
@@ -100,7 +100,10 @@ class Chunk:
                 found.append((hashes[anchor[new]], start[new], start[last], row[new]))
         if not found:
             return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        hashes, first, last, row = (np.concatenate(x) for x in zip(*found, strict=True))
+        # anchors are least hashes, so they are mixed anew to spread evenly over the groups
+        hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0x94D049BB133111EB)
+        return hashes ^ (hashes >> np.uint64(32)), first, last, row
 
 
 def _edges(groups: int) -> np.ndarray:
@@ -267,10 +270,12 @@ def group_spans(chunks: list[int], sent: list[bytes], match: int, kmer: int, gro
     at = np.repeat(first[text], count) + np.arange(len(use)) - np.repeat(np.cumsum(count) - count, count)
     later = rank[at] > lowest[use]
     use, at = use[later], at[later]
-    for c in np.unique(chunk[at]).tolist():
-        mine = chunk[at] == c
-        both = np.unique(np.stack((place[at[mine]] + offset[use[mine]], length[use[mine]])), axis=1)
-        yield c, both[0], both[1].astype(np.uint8)
+    order = np.argsort(chunk[at], kind="stable")
+    use, at = use[order], at[order]
+    edges = np.flatnonzero(np.diff(chunk[at], prepend=-1, append=-1)) if len(at) else at
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        both = np.unique(np.stack((place[at[a:b]] + offset[use[a:b]], length[use[a:b]])), axis=1)
+        yield int(chunk[at[a]]), both[0], both[1].astype(np.uint8)
 
 
 def merged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
