@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, packing, quality, repeats, secrets, simhash
+from . import fingerprints, language, packing, pii, quality, repeats, secrets, simhash
 from .common import fold_of
 
 
@@ -42,6 +42,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+#: The key of the surrogates; a real one comes from a secret store.
+SURROGATE_KEY = "glint"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(_read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
 
@@ -50,5 +58,5 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_secret_scan, op4_best_fit_packing, op5_language_id, op9_order_minhash, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_secret_scan, op4_best_fit_packing, op5_language_id, op7_pii_surrogates, op9_order_minhash, op10_simhash_neardup)}
 ORACLE_SQL: dict[str, str] = {}

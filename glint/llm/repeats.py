@@ -106,6 +106,16 @@ class Chunk:
         return hashes ^ (hashes >> np.uint64(32)), first, last, row
 
 
+def _thin(hashes: np.ndarray) -> bytes:
+    """Sorted hashes as the bytes of their steps, high bytes together, so that they compress."""
+    return np.diff(hashes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _thick(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64)[:, 0]
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _edges(groups: int) -> np.ndarray:
     return (np.arange(1, groups, dtype=object) * (1 << 64) // groups).astype(np.uint64)
 
@@ -220,8 +230,8 @@ def _unpack(data: bytes, kinds) -> list[np.ndarray]:
     return out
 
 
-#: What a chunk sends of its fragments: hashes, sizes, numbers of occurrences, bytes; of occurrences: place, rank.
-_SENT = (np.uint64, np.uint8, np.uint32, np.uint8, np.int64, np.int64)
+#: What a chunk sends of its fragments: sizes, numbers of occurrences, bytes; of occurrences: place, rank.
+_SENT = (np.uint8, np.uint32, np.uint8, np.int64, np.int64)
 _SPANS = (np.int64, np.uint8)
 
 
@@ -234,7 +244,7 @@ def group_spans(chunks: list[int], sent: list[bytes], match: int, kmer: int, gro
     content: dict[bytes, int] = {}
     owner, chunk, place, rank = [], [], [], []
     for c, data in zip(chunks, sent, strict=True):
-        _, size, count, raw, where, who = _unpack(data, _SENT)
+        size, count, raw, where, who = _unpack(data, _SENT)
         ends = np.cumsum(size, dtype=np.int64)
         raw = raw.tobytes()
         index = np.array([content.setdefault(raw[a:b], len(content)) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)], np.int64)
@@ -309,10 +319,10 @@ class _Job:
             hashes = np.unique(Chunk(table).fragments(match, kmer)[0])
             edges = _split(hashes, groups)
             full = np.flatnonzero(np.diff(edges))
-            return pa.table({"part": pa.array(full.astype(np.int32)), "chunk": pa.array(np.full(len(full), key[0].as_py(), np.int32)), "hashes": pa.array([hashes[edges[i] : edges[i + 1]].tobytes() for i in full.tolist()], pa.binary())})
+            return pa.table({"part": pa.array(full.astype(np.int32)), "chunk": pa.array(np.full(len(full), key[0].as_py(), np.int32)), "hashes": pa.array([_thin(hashes[edges[i] : edges[i + 1]]) for i in full.tolist()], pa.binary())})
 
         def shared(key, table):
-            parts = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
+            parts = [_thick(x.as_py()) for x in table.column("hashes")]
             value = np.sort(np.concatenate(parts))
             twice = np.unique(value[1:][value[1:] == value[:-1]])
             del value
@@ -356,7 +366,7 @@ class _Job:
                 own = items[edges[part] : edges[part + 1]]
                 where = np.array([i for _, at in own for i in at], np.int64)
                 parts.append(part)
-                sent.append(_pack(h=np.array([h for (h, _), _ in own], np.uint64), size=np.array([len(t) for (_, t), _ in own], np.uint8), count=np.array([len(at) for _, at in own], np.uint32), raw=np.frombuffer(b"".join(t for (_, t), _ in own), np.uint8), place=first[where], rank=chunk.rank[row[where]]))
+                sent.append(_pack(size=np.array([len(t) for (_, t), _ in own], np.uint8), count=np.array([len(at) for _, at in own], np.uint32), raw=np.frombuffer(b"".join(t for (_, t), _ in own), np.uint8), place=first[where], rank=chunk.rank[row[where]]))
             return pa.table({"part": pa.array(parts, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()), "sent": pa.array(sent, pa.binary())})
 
         return self.docs.groupBy("chunk").cogroup(self.hashes().groupBy("chunk")).applyInArrow(run, "part int, chunk int, sent binary")
