@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, packing, pii, quality, repeats, secrets, simhash
+from . import fingerprints, language, packing, pii, quality, repeats, search, secrets, sentencepiece, simhash
 from .common import fold_of
 
 
@@ -42,6 +42,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether decoding them gives its text again."""
+    docs = _read(spark, sf_dir, "documents")
+    pieces = sentencepiece.load_pieces()
+    encoded = sentencepiece.encode(docs, pieces)
+    return sentencepiece.decode(encoded.withColumn("token_ids", F.col("ids")), pieces).select("doc_id", F.col("token_ids").alias("ids"), F.size("token_ids").alias("n_ids"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 #: The key of the surrogates; a real one comes from a secret store.
 SURROGATE_KEY = "glint"
 
@@ -50,6 +58,12 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.with_surrogates(_read(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "n_entities", "text")
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20, its whole text as the query."""
+    docs = _read(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_read(spark, sf_dir, "documents"))
 
@@ -58,5 +72,5 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_secret_scan, op4_best_fit_packing, op5_language_id, op7_pii_surrogates, op9_order_minhash, op10_simhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_suffix_array_dedup, op3_secret_scan, op4_best_fit_packing, op5_language_id, op6_sentencepiece, op7_pii_surrogates, op8_topk_search, op9_order_minhash, op10_simhash_neardup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -27,8 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
-
 MATCH, KMER = 50, 24
 #: Documents in a chunk, and chunks for each group of anchors.
 CHUNK, GROUP = 1000, 2
@@ -70,7 +68,8 @@ class Chunk:
     """The documents of a chunk, ordered by id and text, as one run of bytes."""
 
     def __init__(self, table: pa.Table):
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), range(table.num_rows), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        self.order = [r[2] for r in rows]
         self.ids = [r[0] for r in rows]
         self.texts = [r[1].encode("utf-8", "surrogatepass") for r in rows]
         self.ends = np.cumsum([len(t) for t in self.texts]) if rows else np.zeros(0, np.int64)
@@ -301,7 +300,7 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
 class _Job:
     """The chunks, groups and functions of one run."""
 
-    def __init__(self, docs: DataFrame, match: int, kmer: int):
+    def __init__(self, docs: DataFrame, match: int, kmer: int, rest: list[str] = []):
         if not kmer < match <= 150:
             raise ValueError("a match must be longer than a k-mer and at most 150 bytes")
         self.match, self.kmer = match, kmer
@@ -310,7 +309,8 @@ class _Job:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # rows without an id follow their text, so that they too spread out
         key = F.pmod(F.coalesce(F.xxhash64(F.col("doc_id")), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.xxhash64("text") % 1_000_003).otherwise(0), F.lit(self.chunks)).cast("int")
-        self.docs = id_text(docs).withColumn("chunk", key).repartition(min(parts, self.chunks), "chunk")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *([F.struct(*(F.col(c) for c in rest)).alias("rest")] if rest else []))
+        self.docs = texts.withColumn("chunk", key).repartition(min(parts, self.chunks), "chunk")
 
     def hashes(self):
         match, kmer, groups = self.match, self.kmer, self.groups
@@ -395,7 +395,8 @@ class _Job:
                 a = np.maximum(starts[first[k] : last[k]] - base, 0)
                 b = np.minimum(ends[first[k] : last[k]] - base, len(text))
                 rows.append(each(doc_id, text, a.tolist(), b.tolist()))
-            return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+            out = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
+            return out.append_column("rest", table.column("rest").take(pa.array(chunk.order, pa.int64()))) if "rest" in table.column_names else out
 
         return self.docs.groupBy("chunk").cogroup(self.spans().groupBy("chunk")).applyInArrow(run, ddl)
 
@@ -421,16 +422,21 @@ def removed_repeats(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> Da
 
 
 def without_repeats(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> DataFrame:
-    """doc_id and the text without its later repeats, for every row.
+    """docs with the later repeats cut out of `text`, and n_chars counted anew where it exists.
 
-    Where a cut parts a character, its remaining bytes go too.
+    All rows and columns stay. Where a cut parts a character, its remaining bytes go too.
+    A null text becomes an empty one.
     """
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
     def each(doc_id, text, starts, ends):
         return doc_id, kept_bytes(text, starts, ends).decode("utf-8", "ignore")
 
-    return _Job(docs, match, kmer).apply(each, schema, "doc_id long, text string")
+    kind = docs.select(rest).schema.simpleString()
+    out = _Job(docs, match, kmer, rest).apply(each, schema, f"doc_id long, text string, rest {kind}").withColumnRenamed("text", "cut")
+    columns = {"text": F.col("cut"), "n_chars": F.length("cut").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return out.select(*((columns[c] if c in columns else F.col("rest")[c]).alias(c) for c in docs.columns))
 
 
 def repeat_groups(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> DataFrame:
