@@ -23,7 +23,7 @@ _NAME = rf"(?<!\p{{L}})(?:{_FEMALE}|{_MALE}|{_NEUTRAL})\.?\x20\p{{Lu}}\p{{L}}+(?
 #: Kinds with their patterns, tried in this order.
 KINDS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
-    "card": r"(?<![\w.])\d(?:[\x20-]?\d){12,18}(?!\w)",
+    "card": r"(?<![\w.])(?:\d{13,19}|\d{4}(?:[\x20-]\d{4}){3}|\d{4}[\x20-]\d{6}[\x20-]\d{5})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<!\w)(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)\x20?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?!\w)",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",

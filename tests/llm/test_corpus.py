@@ -1,0 +1,311 @@
+"""The corpus operators against brute force on small tables with odd rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from glint.llm import fingerprints, language, packing, pii, quality, repeats, search, secrets, sentencepiece, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, part string"
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice(["ba", "re", "ti", "on", "é", "th"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    long = prose(1, 3000)
+    texts = [long, long[:5000] + "x" + long[5001:], prose(2, 60), prose(3, 60) + long[700:900], None, "", " \n\t", "a", "日本語のテキスト", prose(2, 60), "it's <|endoftext|> naïve ΟΔΟΣ \x1c x", "same same " * 300, "same same " * 300, "AKIA" + "Q" * 16 + ' token = "abcdefgh" ' + "deadbeef" * 5, prose(9, 30) + " a.b1@mail.example.com +1 (212) 555-0100 4111111111111111 10.1.2.3 Mrs Anna Smith 212-555-0100"]
+    return [(i * 3, t, "en" if i % 2 else None, None, None if t is None else len(t), 1, "p") for i, t in enumerate(texts)] + [(6, prose(2, 60), "en", "s", 1, 1, "p"), (None, prose(4, 20), None, None, 0, 1, "p")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def with_ids(rows):
+    return [(r[0], r[1] or "") for r in rows if r[0] is not None]
+
+
+def test_repeats(docs, none, rows):
+    seen, want = {}, []
+    for d, t in sorted(with_ids(rows), key=lambda r: r[0]):
+        b = t.encode()
+        for i in range(len(b) - 49):
+            seen.setdefault(b[i : i + 50], d)
+    for d, t in with_ids(rows):
+        b = t.encode()
+        gone = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 49):
+            if seen[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        want.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    got = [tuple(r) for r in repeats.removed_repeats(docs).where("doc_id is not null").collect()]
+    assert sorted(got) == sorted(want) and repeats.removed_repeats(none).count() == 0
+    cut = repeats.without_repeats(docs)
+    assert cut.columns == docs.columns and cut.count() == docs.count()
+
+
+def test_repeat_groups(spark):
+    a, b = prose(5, 40), prose(6, 40)
+    d = spark.createDataFrame([(1, a + b), (2, "zz" + a), (3, a[3:])], "doc_id long, text string")
+    for r in repeats.repeat_groups(d).collect():
+        for o in r.occurrences:
+            text = {1: a + b, 2: "zz" + a, 3: a[3:]}[o.doc_id].encode()
+            assert text[o.start : o.start + len(r.passage)] == bytes(r.passage)
+        assert len(r.passage) >= 50 and len({o.doc_id for o in r.occurrences}) > 1
+
+
+def test_maximal_repeats_by_brute_force():
+    rng = random.Random(4)
+    texts = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randint(12, 20))) for _ in range(30)})
+    got = {(texts[t[0]][o[0] : o[0] + n], frozenset(zip(t.tolist(), o.tolist(), strict=True))) for n, t, o in repeats.maximal_repeats(texts, 6, 24)}
+    want = set()
+    places = {}
+    for i, t in enumerate(texts):
+        for a in range(len(t)):
+            for b in range(a + 6, len(t) + 1):
+                places.setdefault(t[a:b], set()).add((i, a))
+    for s, at in places.items():
+        after = {texts[i][a + len(s) : a + len(s) + 1] or (i, a) for i, a in at}
+        before = {texts[i][a - 1 : a] if a else (i, a) for i, a in at}
+        if len(at) > 1 and len(after) > 1 and len(before) > 1:
+            want.add((s, frozenset(at)))
+    assert got == want
+
+
+def test_simhash(docs, none, rows):
+    def plain(t):
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) if w]
+        h = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 4]), 42) for i in range(max(1, len(words) - 3))] if words else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [plain(r[1]) for r in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            group[i] = min(group[j] for j in range(len(rows)) if (fps[i] ^ fps[j]).bit_count() <= 4)
+    ids = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in group}
+    want = [(r[0], f"{f:016x}", ids[g]) for r, f, g in zip(rows, fps, group, strict=True)]
+    key = lambda r: (r[0] is None, r)
+    assert sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=key) == sorted(want, key=key)
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_near_links_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40)
+    near = [int(b) ^ sum(1 << int(i) for i in rng.choice(60, 3, False)) for b in base for _ in range(8)]
+    points = np.unique(np.array([*base.tolist(), *near, *rng.integers(0, 2**63, 300).tolist()], np.int64))
+    links = simhash.near_links(spark.createDataFrame([(int(p),) for p in points], "fp long"), block=64, sample=128).collect()
+    sets, at = simhash.Union(len(points)), {int(p): i for i, p in enumerate(points)}
+    sets.link(np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
+    truth = simhash.Union(len(points))
+    i, j = np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4, 1))
+    truth.link(i, j)
+    assert (sets.flatten() == truth.flatten()).all()
+
+
+def test_packing(docs, none, rows):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(packing.tokenizer_path())
+    got = packing.packed_sequences(docs).collect()
+    want = sorted(np.array(tk.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes() for r in rows)
+    whole = {}
+    for r in got:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length and r.start == 2048 * r.piece
+    for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id, r.piece)):
+        if r.doc_id not in (6, None):
+            whole[r.doc_id] = whole.get(r.doc_id, b"") + bytes(r.ids)
+    assert all(w in want for w in whole.values()) and sum(map(len, want)) == 4 * sum(r.length for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert packing.packed_sequences(none).count() == 0
+
+
+def test_plan_uses_each_length_up():
+    rng = np.random.default_rng(1)
+    counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 2049, 5000), return_counts=True), strict=True)}
+    steps = packing.plan(counts)
+    used = {}
+    for many, lengths in steps:
+        assert sum(lengths) <= 2048
+        for n in lengths:
+            used[n] = used.get(n, 0) + many
+    assert used == counts
+    assert sum(m for m, _ in steps) <= 1.01 * sum(k * v for k, v in counts.items()) / 2048 + 1
+
+
+def test_order_minhash(docs, none, rows):
+    ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted(fingerprints.edited_likeness(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars))
+    for (d, t), (_, after), r in zip(ordered, ordered[1:] + ordered[:1], got, strict=True):
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        assert (r.doc_id, r.n_chars) == (d, len(t)) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == fingerprints.fingerprint(t) and 0 <= r.near_next <= 1
+    assert fingerprints.edited_likeness(none).count() == 0
+    text = prose(7, 400)
+    far = [fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(t)) for t in (text, "".join("!" if i % 150 == 70 else c for i, c in enumerate(text)), text[:1000], prose(8, 400))]
+    assert far[0] == 1 and far[0] > far[1] > far[2] > far[3]
+
+
+def test_secrets(docs, none):
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).where("doc_id is not null").dropDuplicates(["doc_id"]).collect()}
+    assert (got[39].n_assign, got[39].n_access, got[39].n_hex) == (1, 1, 1) and got[12].spans == ""
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice("abcdef0123456789") for _ in range(rng.randint(20, 60)))
+        hit = np.zeros(len(text), bool)
+        w = min(24, len(text))
+        for i in range(len(text) - w + 1):
+            p = np.unique(list(text[i : i + w]), return_counts=True)[1] / w
+            if -(p * np.log2(p)).sum() >= 3.1 - 1e-9:
+                hit[i : i + w] = True
+        spans = np.zeros(len(text), bool)
+        for a, b in secrets.entropy_windows(text, 24, 3.1):
+            spans[a:b] = True
+        assert (spans == hit).all()
+    assert secrets.scan("key aB3xK9qLmZ7tR2wYpD5vN8cJ end")[1] == [(4, 3, 28)]
+    assert secrets.scan("123e4567-e89b-12d3-a456-426614174000 a-plain-hyphenated-word-sequence")[1] == []
+    red = secrets.redacted(docs)
+    assert red.columns == docs.columns and red.where("doc_id = 39").first().text == '[SECRET] [SECRET]" [SECRET]'
+    assert secrets.find_secrets(none).count() == 0
+
+
+def test_language(spark, docs, none):
+    words = {"en": "the and of to in is that it was for", "de": "der die und das ist nicht ein zu mit von", "fr": "le la les et des que pour dans est une"}
+    rng = random.Random(3)
+    made = [(i, " ".join(rng.choice(words[lang].split()) for _ in range(30)), lang) for i in range(300) for lang in [("en", "de", "fr")[i % 3]]]
+    model = language.fit(spark.createDataFrame(made[:200], "doc_id long, text string, lang string"))
+    assert np.mean([model.predict(t)[0] == lang for _, t, lang in made[200:]]) > 0.97
+    got = language.identify(docs, model)
+    assert got.count() == docs.count() and {r.lang_pred for r in got.where("doc_id in (12, 15, 18)").collect()} == {"und"}
+    assert language.identify(none, model).count() == 0
+
+
+def test_quality(spark, docs, none):
+    rng = random.Random(5)
+    made = [(i, prose(i, 50) if i % 2 else " ".join(prose(i, 50).split()).replace(" ", "$$$ "), i % 2) for i in range(240)]
+    rng.shuffle(made)
+    table = spark.createDataFrame([m[:2] for m in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(m[0], m[2]) for m in made if m[0] < 160] + [(None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(table, labels)
+    got = {r.doc_id: r.predicted for r in quality.score(table, model).collect()}
+    assert np.mean([got[i] == q for i, _, q in made if i >= 160]) > 0.95
+    scores = quality.score(docs, model).collect()
+    assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores) and quality.score(none, model).count() == 0
+    assert quality.accepted(docs, model).columns == docs.columns
+
+
+def test_sentencepiece(docs, none, rows):
+    import public_tokenizers
+    import sentencepiece as lib
+
+    model = lib.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = sentencepiece.load_pieces()
+    encoded = sentencepiece.encode(docs, pieces)
+    want = sorted(((r[0] or -1), model.encode(r[1] or "")) for r in rows)
+    assert sorted(((r.doc_id or (0 if r.doc_id == 0 else -1)), list(r.ids)) for r in encoded.collect()) == sorted(((r[0] if r[0] is not None else -1), ids) for r, ids in ((r, model.encode(r[1] or "")) for r in rows)) and want
+    back = {(r.doc_id, r.text) for r in sentencepiece.decode(encoded, pieces).collect()}
+    assert back == {(r[0], r[1] or "") for r in rows}
+    assert sentencepiece.encode(none, pieces).count() == 0
+
+
+def test_viterbi(spark):
+    scores = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -1.0, "abb": -4.5, "▁": -1.0, "▁a": -1.5}
+    pieces = sentencepiece.Pieces(tuple((p, i, s) for i, (p, s) in enumerate(scores.items())), (), 99, False, 3, tuple(scores))
+    words = ["▁abba", "▁ba", "▁xab", "b"]
+
+    def best(w):
+        table = [(0.0, [])]
+        for e in range(1, len(w) + 1):
+            ways = [(table[s][0] - scores[w[s:e]], [*table[s][1], list(scores).index(w[s:e])]) for s in range(e) if w[s:e] in scores]
+            if w[e - 1 : e] not in scores:
+                ways.append((table[e - 1][0] + 14.5, [*table[e - 1][1], 99]))
+            table.append(min(ways))
+        return table[-1][1]
+
+    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()}
+    assert got == {w: best(w) for w in words}
+
+
+def test_pii(docs, none):
+    out = pii.with_surrogates(docs, "key").cache()
+    assert out.columns == [*docs.columns, "n_entities"] and out.count() == docs.count()
+    text = out.where("doc_id = 42").first().text
+    old = docs.where("doc_id = 42").first().text
+    a, b = old.split(" "), text.split(" ")
+    assert len(a) == len(b) and [x == y for x, y in zip(a[:30], b[:30], strict=True)] == [True] * 30
+    assert re.fullmatch(r"[a-z]\.[a-z]\d@[a-z]+\.example\.com", b[30]) and b[30] != a[30]
+    assert re.fullmatch(r"\(\d{3}\)", b[32]) and b[32][1:4] == b[-1][:3] and b[33] == b[-1][4:]
+    digits = [int(c) for c in b[34]][::-1]
+    assert len(digits) == 16 and sum(sum(divmod(d * 2, 10)) if i % 2 else d for i, d in enumerate(digits)) % 10 == 0
+    assert b[36] == "Mrs" and b[37].istitle() and b[37].endswith("na") and b[38] != "Smith"
+    assert pii.with_surrogates(none, "key").count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    norms = spark.range(3000).select(F.lit("ssn").alias("kind"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0").alias("norm")).distinct().where("norm < '300'")
+    made = pii.surrogates(norms, "key")
+    names = pii.surrogates(spark.range(2000).select(F.lit("given-f").alias("kind"), F.concat(F.lit("anna"), "id").alias("norm")), "key")
+    for s, n in ((made, 300), (names, 2000)):
+        assert s.select("surrogate").distinct().count() == n and s.join(s.select(F.col("norm").alias("v")), F.col("surrogate") == F.col("v")).count() == 0
+
+
+def test_search(spark, docs, none):
+    import collections
+    import math
+
+    texts = {i: prose(i, 40) for i in range(300)}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    counts = {i: collections.Counter(t.lower().split()) for i, t in texts.items()}
+    mean = sum(sum(c.values()) for c in counts.values()) / 300
+    df = collections.Counter(w for c in counts.values() for w in c)
+    got = {}
+    for r in search.search(table, table.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), k=5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
+    for q in range(0, 300, 20):
+        score = {d: sum(n * math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, n in counts[q].items() if w in c) for d, c in counts.items()}
+        best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [got[q][i + 1][0] for i in range(5)] == [d for d, _ in best]
+        assert [got[q][i + 1][1] for i in range(5)] == pytest.approx([s for _, s in best])
+    asked = docs.select(F.col("doc_id").alias("query_id"), "text")
+    assert search.search(docs, asked).count() > 0 and search.search(none, asked).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    columns, before = docs.columns, {r.doc_id for r in docs.collect()}
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001").cache()
+        assert docs.columns == columns, name
+        now = {r.doc_id for r in docs.collect()}
+        assert now <= before and (name in ("quality_classifier", "simhash_near_dedup") or now == before), name
+        before = now
+    packed = cp.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == before
