@@ -10,6 +10,7 @@ and a threshold for rejection come from rows of the sample that training leaves
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from .common import batched, id_text, rows_of
 
 #: Rows of the embedding table (a power of two) and its width.
 BUCKETS, WIDTH = 1 << 15, 16
-#: Labelled rows that are learned from, at most: those whose hashed text comes first.
+#: Labelled rows that are learned from, at most: those whose hashed id comes first.
 SAMPLE = 6_000
 EPOCHS, RATE, SEED = 8, 0.5, 7
 #: The share of left-out rows that may be wrong among those accepted.
@@ -68,16 +69,18 @@ class Model:
         return self.langs[best], float(p[best]), bool(p[best] >= self.threshold)
 
 
-def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
-    """A model of the given rows; every fifth is left out for temperature and threshold."""
+def shares(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The table rows that a text's subwords have, and the share of each."""
+    rows, n = np.unique(subwords(text, buckets), return_counts=True)
+    return rows, (n / max(1, n.sum())).astype(np.float32)
+
+
+def train(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], buckets: int = BUCKETS, width: int = WIDTH, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
+    """A model of the given shares; every fifth row is left out for temperature and threshold."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs])
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    counts = []
-    for t in texts:
-        rows, n = np.unique(subwords(t, buckets), return_counts=True)
-        counts.append((rows, (n / max(1, n.sum())).astype(np.float32)))
     table = rng.uniform(-1, 1, (buckets, width)).astype(np.float32) / width
     weights, bias = np.zeros((width, len(names)), np.float32), np.zeros(len(names), np.float32)
     own = np.flatnonzero(~held)
@@ -106,12 +109,29 @@ def train(texts: list[str], langs: list[str], buckets: int = BUCKETS, width: int
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from columns text and lang; rows with a null or empty in either are left out."""
-    rows = labelled.where("text is not null and lang is not null and lang <> '' and text <> ''").select("text", "lang")
-    rows = rows.orderBy(F.xxhash64("text"), "text", "lang").limit(sample).collect()
-    if not rows:
+    """Learns from columns doc_id, text and lang; rows with a null in any, or an empty text or lang, are left out.
+
+    The ids of the sample are chosen first and broadcast, so texts never reach the driver:
+    it gets the shares of at most `sample` documents, and of a repeated id's rows all.
+    """
+    rows = labelled.where("doc_id is not null and text is not null and lang is not null and lang <> '' and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    chosen = rows.select(F.col("doc_id").alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(sample).distinct()
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("rows", pa.binary()), ("share", pa.binary())])
+
+    def run(batches):
+        def each():
+            for doc_id, text, lang in rows_of(batches, "doc_id", "text", "lang"):
+                at, share = shares(text)
+                yield doc_id, lang, at.astype("<i4").tobytes(), share.tobytes()
+
+        yield from batched(each(), schema)
+
+    picked = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))  # at most `sample` numbers
+    seen = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, rows binary, share binary").collect()
+    if not seen:
         raise ValueError("no labelled text to learn from")
-    return train([r.text for r in rows], [r.lang for r in rows])
+    seen.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.rows))
+    return train([(np.frombuffer(r.rows, "<i4"), np.frombuffer(r.share, np.float32)) for r in seen], [r.lang for r in seen])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
