@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from .common import id_text, materialize
 SPACE = "\u2581"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Documents in a chunk that shares a word list.
-CHUNK = 4000
+CHUNK = 1000
 #: Longer words don't fit the bit mask; they are folded with an array of boundaries.
 MASK = 62
 
@@ -214,9 +215,17 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     told = asked.join(known, F.col("word") == F.col("w")).select("chunk", "word", "ids")
 
     def answer(key, table, told):
-        ids = dict(zip(told.column("word").to_pylist(), told.column("ids").to_pylist(), strict=True))
-        made = [[i for w in _cut(t) for i in ids[w]] for t in table.column("text").to_pylist()]
-        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.array(made, pa.list_(pa.int32()))})
+        # ids stay packed: a chunk's word list is one run of bytes for each word
+        ids = {}
+        for batch in told.to_batches():
+            lists = batch.column("ids")
+            raw = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+            ends = lists.offsets.to_numpy().tolist()
+            ids.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(batch.column("word").to_pylist(), ends[:-1], ends[1:], strict=True))
+        made = [b"".join([ids[w] for w in _cut(t.as_py())]) for t in table.column("text")]
+        ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join(made), "<i4"))
+        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), flat)})
 
     return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(answer, "doc_id long, ids array<int>")
 
