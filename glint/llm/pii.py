@@ -163,7 +163,8 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
 
     All rows and columns stay (a column n_entities of docs is replaced); null and empty
     texts stay as they are, with no entities. Rows that are alike in doc_id and text are
-    alike in the result. Only rows with an entity are shuffled.
+    alike in the result. Only rows with an entity are shuffled. Other columns may have any
+    name.
     """
     docs = docs.drop("n_entities")
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
@@ -175,9 +176,11 @@ def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     named = parts.join(made, (F.col("kind") == F.col("k")) & (F.col("norm") == F.col("m")))
     whole = named.groupBy("doc_id", "t", "at").agg(F.min("entity").alias("entity"), F.transform(F.array_sort(F.collect_set(F.struct("part", "surrogate"))), lambda x: x["surrogate"]).alias("made"))
     lists = whole.withColumn("new", written(F.col("entity"), F.col("made"))).groupBy("doc_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("news"))
-    lists = lists.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "news")
-    gaps = F.split(F.col("text"), PATTERN, -1)
+    lists = lists.select(F.col("doc_id").alias("own_id"), F.col("t").alias("own_t"), "news")
+    # the row travels as one struct, so that none of its columns can clash with those of the lists
+    rows = found.select(F.struct("*").alias("row"), F.xxhash64("text").alias("t"))
+    gaps = F.split(F.col("row.text"), PATTERN, -1)
     text = F.array_join(F.flatten(F.zip_with(gaps, F.col("news"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    joined = found.join(lists, found["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(found["text"]) == F.col("_t")))
-    replaced = joined.withColumn("n_entities", F.size("news")).withColumn("text", text)
+    joined = rows.join(lists, F.col("row.doc_id").eqNullSafe(F.col("own_id")) & (F.col("t") == F.col("own_t")))
+    replaced = joined.select(*((text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns), F.size("news").alias("n_entities"))
     return plain.unionAll(replaced.select(*plain.columns))

@@ -309,3 +309,16 @@ def test_pipeline(spark):
         before = now
     packed = cp.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert {r.doc_id for r in packed.select("doc_id").collect()} == before
+
+
+def test_columns_of_any_name_stay(spark):
+    import corpus_pipeline
+
+    text = "Mr John Smith wrote to a.b@shop.com from 10.2.3.4 today and then once again"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (None, "token=abcdefgh12345 a.b@shop.com")], "doc_id long, text string")
+    for name in "news own_id own_t _id _t t k v kept_id kept_rows id row rest cut chunk fp kind norm".split():
+        docs = docs.withColumn(name, F.lit(f"own {name}"))
+    for made, rows in ((pii.with_surrogates(docs, "key").drop("n_entities"), 5), (corpus_pipeline.near_duplicate_stage(spark, docs, ""), 3), (repeats.without_repeats(docs), 5), (secrets.redacted(docs), 5)):
+        found = made.collect()
+        assert made.columns == docs.columns and len(found) == rows
+        assert all(r[c] == f"own {c}" for r in found for c in docs.columns[2:])
