@@ -396,7 +396,10 @@ class _Job:
                 b = np.minimum(ends[first[k] : last[k]] - base, len(text))
                 rows.append(each(doc_id, text, a.tolist(), b.tolist()))
             out = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
-            return out.append_column("rest", table.column("rest").take(pa.array(chunk.order, pa.int64()))) if "rest" in table.column_names else out
+            if "rest" not in table.column_names:
+                return out
+            rest = table.column("rest").take(pa.array(chunk.order, pa.int64()))
+            return out.append_column("rest", rest.cast(nullable(rest.type)))
 
         return self.docs.groupBy("chunk").cogroup(self.spans().groupBy("chunk")).applyInArrow(run, ddl)
 
@@ -421,6 +424,17 @@ def removed_repeats(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> Da
     return _Job(docs, match, kmer).apply(each, schema, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with all its fields nullable, as a declared schema has them."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(pa.field(kind.value_field.name, nullable(kind.value_type)))
+    if pa.types.is_map(kind):
+        return pa.map_(kind.key_type, nullable(kind.item_type))
+    return kind
+
+
 def without_repeats(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> DataFrame:
     """docs with the later repeats cut out of `text`, and n_chars counted anew where it exists.
 
