@@ -28,9 +28,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     groups = simhash.near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").count()
     groups = materialize(groups.select(F.col("doc_id").alias("kept_id"), F.col("count").alias("kept_rows")), "kept")
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(F.col("kept_id")))
-    once = kept.where("kept_rows = 1 or doc_id is null").select(*docs.columns)
-    return once.unionAll(kept.where("kept_rows > 1 and doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns))
+    # the row travels as one struct, so that none of its columns can clash with those of the groups
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
+    kept = rows.join(groups, F.col("id").eqNullSafe(F.col("kept_id")))
+    once = kept.where("kept_rows = 1 or id is null")
+    more = kept.where("kept_rows > 1 and id is not null").dropDuplicates(["id"])
+    return once.select("row.*").unionAll(more.select("row.*"))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
