@@ -29,7 +29,7 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Documents in a chunk that shares a word list.
 CHUNK = 1000
 #: Longer words don't fit the bit mask; they are folded with an array of boundaries.
-MASK = 62
+MASK = 61
 
 
 @dataclass(frozen=True)

@@ -234,6 +234,26 @@ def test_sentencepiece(docs, none, rows):
     assert sentencepiece.encode(none, pieces).count() == 0
 
 
+def test_words_merge_as_the_library_does(spark):
+    import public_tokenizers
+    import sentencepiece as lib
+
+    model = lib.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = sentencepiece.load_pieces()
+    rng = random.Random(5)
+    words = {"\u2581" * k + "".join(rng.choice("aehinorst" if k else "abcxyzé日語ß") for _ in range(n)) for n in (1, 2, 5, 9, 30, 61, 62, 63, 90, 400) for k in (0, 1, 2, 15, 16, 17, 33)} | {"\u2581" * k for k in (1, 16, 17, 40, 70)}
+    got = {r.word: list(r.ids) for r in sentencepiece.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces).collect()}
+    # the library puts a space before a text, so each word follows a line feed, whose byte is known
+    feed = model.encode("\n")
+    assert got == {w: model.encode("\n" + w.replace("\u2581", " "))[len(feed) :] for w in words}
+
+
+def test_late_pieces():
+    rows = (("a", 0, 0.0), ("b", 1, 0.0), ("c", 2, 0.0), ("abc", 3, -1.0), ("ab", 4, -2.0))
+    assert sentencepiece.late_pieces(rows) == (3,)
+    assert sentencepiece.late_pieces((*rows[:3], ("ab", 4, -1.0), ("abc", 3, -2.0))) == ()
+
+
 def test_viterbi(spark):
     scores = {"a": -2.0, "b": -2.5, "ab": -3.0, "ba": -1.0, "abb": -4.5, "▁": -1.0, "▁a": -1.5}
     pieces = sentencepiece.Pieces(tuple((p, i, s) for i, (p, s) in enumerate(scores.items())), (), 99, False, 3, tuple(scores))
