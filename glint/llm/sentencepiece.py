@@ -9,7 +9,10 @@ For a unigram model the fold is Viterbi's: the best score at each end, and the e
 got there. The scores of a BPE model are ranks of merges, and a best path over them isn't
 what the model encodes, so for BPE the fold replays the merges on the lattice: of all
 edges that join two neighbouring pieces the one of best score, leftmost on ties. A bit
-mask holds the piece boundaries.
+mask holds the piece boundaries. Boundaries only vanish, and what lies within an edge
+merges as the edge's own text does; so if each piece is made of two at its turn, one
+pass over the edges by score does it. Pieces for which that doesn't hold ("late" ones)
+are found once from the vocabulary, and words that have one are folded step by step.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ SPACE = "\u2581"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Documents in a chunk that shares a word list.
 CHUNK = 1000
-#: Longer words don't fit the bit mask; they are folded with an array of boundaries.
+#: Longer words don't fit the bit mask of a long; they are folded with an array of boundaries.
 MASK = 61
 
 
@@ -42,6 +45,29 @@ class Pieces:
     bpe: bool
     longest: int
     spelled: tuple[str, ...]
+    late: tuple[int, ...] = ()
+
+
+def late_pieces(rows: tuple[tuple[str, int, float], ...]) -> tuple[int, ...]:
+    """Ids of the pieces that aren't two neighbours when their turn by score comes, but later are."""
+    cost = {p: -s for p, _, s in rows}
+
+    def fits(held: set[int], s: int, e: int) -> bool:
+        return s in held and e in held and sum(b in held for b in range(s + 1, e)) == 1
+
+    found = []
+    for piece, i, _ in rows:
+        n = len(piece)
+        edges = sorted((cost[piece[s:e]], s, e) for s in range(n) for e in range(s + 2, n + 1) if piece[s:e] in cost)
+        once, again = set(range(n + 1)), set(range(n + 1))
+        for _, s, e in edges:
+            if fits(once, s, e):
+                once.difference_update(range(s + 1, e))
+        while step := next(((s, e) for _, s, e in edges if fits(again, s, e)), None):
+            again.difference_update(range(step[0] + 1, step[1]))
+        if once != again:
+            found.append(i)
+    return tuple(found)
 
 
 def _kind_is_bpe(data: bytes) -> bool:
@@ -92,17 +118,22 @@ def load_pieces(path: str | None = None) -> Pieces:
     byte_ids = tuple(model.piece_to_id(f"<0x{b:02X}>") for b in range(256)) if any(model.is_byte(i) for i in ids) else ()
     with open(path, "rb") as f:
         bpe = _kind_is_bpe(f.read())
-    return Pieces(tuple((spelled[i], i, float(model.get_score(i))) for i in plain), byte_ids, model.unk_id(), bpe, max(len(spelled[i]) for i in plain), spelled)
+    rows = tuple((spelled[i], i, float(model.get_score(i))) for i in plain)
+    return Pieces(rows, byte_ids, model.unk_id(), bpe, max(len(spelled[i]) for i in plain), spelled, late_pieces(rows) if bpe else ())
 
 
 def _table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame([(p, i, s) for p, i, s in pieces.rows], "piece string, id int, score double")
+    return spark.createDataFrame([("", -1, 0.0), *pieces.rows], "piece string, id int, score double")
 
 
 def _lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and its edges: structs (score, s, e, id), one for each substring that is a piece."""
+    """word and its edges: structs (cost, s, e, id), one for each substring that is a piece.
+
+    The empty piece at 0 is an edge of every word, so that words without a piece stay.
+    """
     n = F.char_length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("s")))).alias("n"))
+    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = spans.select("word", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("s")))).alias("n"))
     spans = spans.select("word", "s", (F.col("s") + F.col("n")).alias("e"), F.substr("word", F.col("s") + 1, F.col("n")).alias("piece"))
     table = F.broadcast(_table(words.sparkSession, pieces))  # the vocabulary: a fixed number of rows
     edge = F.struct((-F.col("score")).alias("cost"), "s", "e", "id")
@@ -118,32 +149,57 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _merges_masked(edges: Column, n: Column) -> Column:
+def _ends(x: Column) -> Column:
+    return _bit(x["s"]).bitwiseOR(_bit(x["e"]))
+
+
+def _within(x: Column) -> Column:
+    return _bit(x["e"]) - _bit(x["s"] + 1)
+
+
+def _merges_masked(edges: Column, n: Column, late: Column) -> Column:
     """Boundaries after all merges, as a mask: bit i is set if a piece begins or ends at i."""
-    merges = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct((_bit(x["s"]).bitwiseOR(_bit(x["e"]))).alias("ends"), (_bit(x["e"]) - _bit(x["s"] + 1)).alias("within")))
+    merges = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(_ends(x).alias("ends"), _within(x).alias("within")))
+    every = _bit(n + 1) - F.lit(1).cast("long")
 
-    def fold(merges: Column) -> Column:
+    def fits(held: Column, m: Column) -> Column:
+        return (held.bitwiseAND(m["ends"]) == m["ends"]) & (F.bit_count(held.bitwiseAND(m["within"])) == 1)
+
+    def once(held: Column, m: Column) -> Column:
+        # edges are sorted by cost and start
+        return F.when(fits(held, m), held - held.bitwiseAND(m["within"])).otherwise(held)
+
+    def by_step(merges: Column) -> Column:
         def step(held: Column, _: Column) -> Column:
-            # edges are sorted by cost and start, so the first that fits is the one to apply
-            fit = F.filter(merges, lambda m: (held.bitwiseAND(m["ends"]) == m["ends"]) & (F.bit_count(held.bitwiseAND(m["within"])) == 1))
+            fit = F.filter(merges, lambda m: fits(held, m))
             return held - held.bitwiseAND(F.coalesce(F.get(fit, F.lit(0))["within"], F.lit(0).cast("long")))
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.when(F.size(merges) > 0, n - 1).otherwise(1))), _bit(n + 1) - F.lit(1).cast("long"), step)
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), every, step)
 
-    return _once(merges, fold)
+    return F.when(late, _once(merges, by_step)).otherwise(F.aggregate(merges, every, once))
 
 
-def _merges_listed(edges: Column, n: Column) -> Column:
+def _merges_listed(edges: Column, n: Column, late: Column) -> Column:
     """The same for words of any length, as a sorted array of boundaries."""
+    merges = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
+    every = F.sequence(F.lit(0), n)
+
+    def fits(held: Column, m: Column) -> Column:
+        return (F.array_position(held, m["s"]) > 0) & (F.array_position(held, m["e"]) - F.array_position(held, m["s"]) == 2)
+
+    def merge(held: Column, m: Column) -> Column:
+        return _once(F.array_position(held, m["s"]).cast("int"), lambda at: F.concat(F.slice(held, F.lit(1), at), F.slice(held, at + 2, F.size(held))))
+
+    def once(held: Column, m: Column) -> Column:
+        return F.when(fits(held, m), merge(held, m)).otherwise(held)
 
-    def fold(merges: Column) -> Column:
+    def by_step(merges: Column) -> Column:
         def step(held: Column, _: Column) -> Column:
-            fit = F.filter(merges, lambda m: F.array_contains(held, m["s"]) & F.array_contains(held, m["e"]) & (F.size(F.filter(held, lambda b: (b > m["s"]) & (b < m["e"]))) == 1))
-            return _once(F.get(fit, F.lit(0)), lambda first: F.filter(held, lambda b: F.coalesce((b <= first["s"]) | (b >= first["e"]), F.lit(True))))
+            return _once(F.get(F.filter(merges, lambda m: fits(held, m)), F.lit(0)), lambda first: F.when(first.isNull(), held).otherwise(merge(held, first)))
 
-        return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+        return F.aggregate(F.sequence(F.lit(1), n), every, step)
 
-    return _once(F.filter(edges, lambda x: x["e"] - x["s"] > 1), fold)
+    return F.when(late, _once(merges, by_step)).otherwise(F.aggregate(merges, every, once))
 
 
 def _best_path(edges: Column, n: Column, unknown: float) -> Column:
@@ -163,13 +219,8 @@ def _best_path(edges: Column, n: Column, unknown: float) -> Column:
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word and ids for each distinct, non-empty word."""
     n = F.char_length("word")
-    with_edges = words.join(_lattice(words, pieces).withColumnRenamed("word", "w"), F.col("word") == F.col("w"), "left").drop("w").withColumn("edges", F.coalesce("edges", F.expr("cast(array() as array<struct<cost: double, s: int, e: int, id: int>>)")))
     edges = F.col("edges")
-    if pieces.bpe:
-        listed = _once(_merges_masked(edges, n), lambda mask: F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", mask, i) % 2 != 0))
-        cuts = F.when(n <= MASK, listed).otherwise(_merges_listed(edges, n))
-    else:
-        cuts = _best_path(edges, n, max(-s for _, _, s in pieces.rows) + 10.0)
+    late = F.exists(edges, lambda x: x["id"].isin(*pieces.late)) if pieces.late else F.lit(False)
     table = F.array(*(F.lit(i) for i in pieces.byte_ids)) if pieces.byte_ids else None
 
     def ids(x: Column) -> Column:
@@ -184,7 +235,18 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         spans = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.struct(F.get(cuts, k - 1).alias("s"), F.get(cuts, k).alias("e")))
         return F.flatten(F.transform(spans, ids))
 
-    return with_edges.select("word", _once(cuts, spell).alias("ids"))
+    def spell_masked(mask: Column) -> Column:
+        # an edge is in the result if its ends are boundaries and none lies between them
+        own = F.filter(edges, lambda x: (x["e"] > x["s"]) & (mask.bitwiseAND(_ends(x)) == _ends(x)) & (mask.bitwiseAND(_within(x)) == 0))
+        cuts = F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", mask, i) % 2 != 0)
+        in_order = lambda own: F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))), lambda x: x["id"])
+        return _once(own, lambda own: F.when(F.size(own) == F.bit_count(mask) - 1, in_order(own)).otherwise(_once(cuts, spell)))
+
+    if pieces.bpe:
+        ids_of = F.when(n <= MASK, _once(_merges_masked(edges, n, late), spell_masked)).otherwise(_once(_merges_listed(edges, n, late), spell))
+    else:
+        ids_of = _once(_best_path(edges, n, max(-s for _, _, s in pieces.rows) + 10.0), spell)
+    return _lattice(words, pieces).select("word", ids_of.alias("ids"))
 
 
 def _cut(text: str) -> list[str]:
