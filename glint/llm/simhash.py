@@ -1,14 +1,20 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked with vantage-point trees.
 
 Fingerprints of equal value are one point, so a group of copies is one point however
-large it is. A vantage-point tree over a bounded sample splits the points by their
-Hamming distance to a vantage point; a leaf with more points than a block holds is cut
-into blocks by hash. By the triangle inequality two points within `radius` of each
-other each reach the other's leaf, so a pair of blocks is only compared through the
-points of one that reach the leaf of the other. Each pair of blocks is a bounded task
-that holds its own vantage-point tree and returns one link to the root of each local
-component, never all pairs. Random 64-bit fingerprints lie 32 +- 4 bits apart, hence
-a radius of 4 leaves much overlap: the work grows faster than the number of points.
+large it is. Random 64-bit fingerprints lie 32 +- 4 bits apart, so a single tree hardly
+parts them at radius 4: its shards overlap, and more so the more there are. Hence the
+bits are cut into radius + 1 groups. Two points within `radius` bits are equal in at
+least one group, so a vantage-point tree over each group's distance, read with that
+group's share of the radius (0), brings each linked pair together in a shard, and each
+point goes to as many shards as there are groups, however many points there are. With
+more bits of radius than groups, that share isn't 0, and the triangle bound sends a point
+to each shard whose boundary it is near.
+
+A task takes one shard, or two blocks of a shard that couldn't be parted further. It
+holds a vantage-point tree over all 64 bits, prunes it by the triangle inequality at the
+full radius, and returns one link to the root of each local component, never all pairs.
+A group of 13 bits has 8192 shards at most; beyond that many full blocks of distinct
+fingerprints (about 270 million), the pairs of blocks grow faster than the points.
 """
 
 from __future__ import annotations
@@ -25,9 +31,11 @@ from .components import connected_components
 WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Points in one block; a task compares two blocks.
+#: Groups of bits at most.
+GROUPS = 8
+#: Points in one block; a task compares a block with itself or another.
 BLOCK = 32_768
-#: Fingerprints that the upper tree is built from.
+#: Fingerprints that the upper trees are built from.
 SAMPLE = 8_192
 #: Points in a leaf of the tree that a task builds.
 LEAF = 256
@@ -162,36 +170,56 @@ def local_links(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS
 def near_links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """Links (a, b) that join all distinct fingerprints `fp` within `radius` bits, transitively.
 
-    `sample` fingerprints, in the order of their hash, shape the upper tree; the result
-    doesn't depend on them. What reaches the driver is that sample and a count per leaf.
+    `sample` fingerprints, in the order of their hash, shape the upper trees; the result
+    doesn't depend on them. What reaches the driver is that sample and a count per shard.
     """
-    spark = points.sparkSession
     n = points.count()
     seen = [r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
     base = np.array(seen, np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(1, n / block)))))
-    tree = VantageTree(base, max(1, len(base) >> depth), depth)
-    homes = points.mapInArrow(_homes(tree), "fp long, leaf int")
-    sizes = {r.leaf: r["count"] for r in homes.groupBy("leaf").count().collect()}
-    parts = {leaf: -(-size // block) for leaf, size in sizes.items()}
+    # a single block needs no parting
+    masks = bit_groups(min(radius + 1, GROUPS) if n > block else 1)
+    within = radius // len(masks)
+    trees = [VantageTree(base & mask, max(1, len(base) * block // max(1, 2 * n)) if n > block else len(base)) for mask in masks]
+    bases = np.cumsum([0] + [len(tree.leaves) for tree in trees])
     schema = pa.schema([("pair", pa.int64()), ("side", pa.int32()), ("fp", pa.int64())])
+
+    def own(fps, g):
+        """Yields (shard, rows): the shard of group g in whose region each row lies."""
+        for leaf, rows in _own_leaf(trees[g], fps & masks[g]):
+            if len(rows):
+                yield int(bases[g]) + leaf, rows
+
+    def sizes(batches):
+        total = np.zeros(int(bases[-1]), np.int64)
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for g in range(len(masks)):
+                for shard, rows in own(fps, g):
+                    total[shard] += len(rows)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["shard", "n"])
+
+    counted = points.mapInArrow(sizes, "shard int, n long").groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    parts = {r.shard: -(-r.n // block) for r in counted}
     first, count = {}, 0
-    for leaf in sorted(parts):
-        first[leaf] = count
-        count += parts[leaf]
+    for shard in sorted(parts):
+        first[shard] = count
+        count += parts[shard]
 
     def deal(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            home = np.zeros(len(fps), np.int64)
             mixed = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for leaf, rows in _own_leaf(tree, fps):
-                home[rows] = first[leaf] + (mixed[rows] % np.uint64(parts[leaf])).astype(np.int64)
-            for leaf, rows in tree.reach(fps, radius):
-                for other in range(first.get(leaf, 0), first.get(leaf, 0) + parts.get(leaf, 0)):
-                    mine = home[rows]
-                    pair = np.minimum(mine, other) * count + np.maximum(mine, other)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array((mine > other).astype(np.int32)), pa.array(fps[rows].view(np.int64))], schema=schema)
+            for g in range(len(masks)):
+                home = np.zeros(len(fps), np.int64)
+                for shard, rows in own(fps, g):
+                    home[rows] = first[shard] + (mixed[rows] % np.uint64(parts[shard])).astype(np.int64)
+                for leaf, rows in trees[g].reach(fps & masks[g], within):
+                    shard = int(bases[g]) + leaf
+                    for other in range(first.get(shard, 0), first.get(shard, 0) + parts.get(shard, 0)):
+                        mine = home[rows]
+                        pair = np.minimum(mine, other) * count + np.maximum(mine, other)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array((mine > other).astype(np.int32)), pa.array(fps[rows].view(np.int64))], schema=schema)
 
     def compare(key, table):
         side = table.column("side").to_numpy()
@@ -217,16 +245,10 @@ def _own_leaf(tree: VantageTree, points: np.ndarray):
         todo += [(inside, rows[near]), (outside, rows[~near])]
 
 
-def _homes(tree: VantageTree):
-    schema = pa.schema([("fp", pa.int64()), ("leaf", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for leaf, rows in _own_leaf(tree, fps):
-                yield pa.RecordBatch.from_arrays([pa.array(fps[rows].view(np.int64)), pa.array(np.full(len(rows), leaf, np.int32))], schema=schema)
-
-    return run
+def bit_groups(groups: int) -> list[np.uint64]:
+    """Masks that deal the 64 bits into groups of neighbours, as even as can be."""
+    cuts = [64 * i // groups for i in range(groups + 1)]
+    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

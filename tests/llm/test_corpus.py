@@ -107,16 +107,18 @@ def test_simhash(docs, none, rows):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_near_links_in_blocks(spark):
+@pytest.mark.parametrize("radius", [4, 11])
+def test_near_links_in_blocks(spark, radius):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40)
     near = [int(b) ^ sum(1 << int(i) for i in rng.choice(60, 3, False)) for b in base for _ in range(8)]
-    points = np.unique(np.array([*base.tolist(), *near, *rng.integers(0, 2**63, 300).tolist()], np.int64))
-    links = simhash.near_links(spark.createDataFrame([(int(p),) for p in points], "fp long"), block=64, sample=128).collect()
+    alike = ((rng.integers(0, 2**50, 200) << 13) | 77).tolist()  # equal in their lowest bits, which no tree parts
+    points = np.unique(np.array([*base.tolist(), *near, *alike, *rng.integers(0, 2**63, 300).tolist()], np.int64))
+    links = simhash.near_links(spark.createDataFrame([(int(p),) for p in points], "fp long"), radius, block=64, sample=128).collect()
     sets, at = simhash.Union(len(points)), {int(p): i for i, p in enumerate(points)}
     sets.link(np.array([at[r.a] for r in links]), np.array([at[r.b] for r in links]))
     truth = simhash.Union(len(points))
-    i, j = np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4, 1))
+    i, j = np.nonzero(np.triu(np.bitwise_count(points[:, None] ^ points[None, :]) <= radius, 1))
     truth.link(i, j)
     assert (sets.flatten() == truth.flatten()).all()
 
