@@ -24,16 +24,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id.
 
-    Of repeated rows of that id one stays; a row without an id stays if its group has none.
+    Of repeated rows of that id one stays, that of the smallest text hash; rows without an
+    id stay if there is a group that has none. Repeated ids are put together before the
+    texts are dealt by id, and the join uses that dealing: texts are sent once, and at
+    every size in the same way.
     """
-    groups = simhash.near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").count()
-    groups = materialize(groups.select(F.col("doc_id").alias("kept_id"), F.col("count").alias("kept_rows")), "kept")
-    # the row travels as one struct, so that none of its columns can clash with those of the groups
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"))
-    kept = rows.join(groups, F.col("id").eqNullSafe(F.col("kept_id")))
-    once = kept.where("kept_rows = 1 or id is null")
-    more = kept.where("kept_rows > 1 and id is not null").dropDuplicates(["id"])
-    return once.select("row.*").unionAll(more.select("row.*"))
+    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = materialize(kept, "kept")
+    # the row travels as one struct, so that none of its columns can clash with other names
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    each = rows.where("id is not null").groupBy("id").agg(F.min_by("row", "mark").alias("row"))
+    # kept ids are distinct; a semi join would be moved below the aggregate, and repeated rows be sent
+    out = each.join(kept.hint("merge"), F.col("id") == F.col("kept_id")).select("row.*")
+    if kept.where("kept_id is null").count():
+        out = out.unionAll(rows.where("id is null").select("row.*"))
+    return out
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
