@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glint.llm import packing, quality, repeats, secrets, simhash
+from glint.llm import nearcopies, packing, quality, repeats, secrets
 from glint.llm.common import materialize
 from glint.llm.queries import quality_model
 
@@ -24,12 +24,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of the smallest id.
 
+    Near-duplicates are texts whose sets of 5-word shingles have a Jaccard similarity of
+    0.8 at least, exactly, and what such texts link.
     Of repeated rows of that id one stays, that of the smallest text hash; rows without an
     id stay if there is a group that has none. Repeated ids are put together before the
     texts are dealt by id, and the join uses that dealing: texts are sent once, and at
     every size in the same way.
     """
-    kept = simhash.near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    marked = materialize(nearcopies.near_copies(docs), "near")
+    kept = marked.groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
     kept = materialize(kept, "kept")
     # the row travels as one struct, so that none of its columns can clash with other names
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))

@@ -344,3 +344,38 @@ def test_columns_of_any_name_stay(spark):
         found = made.collect()
         assert made.columns == docs.columns and len(found) == rows
         assert all(r[c] == f"own {c}" for r in found for c in docs.columns[2:])
+
+
+def test_pipeline_drops_edited_copies(spark):
+    import corpus_pipeline
+    from glint.llm import nearcopies
+
+    texts = {}
+    for i in range(40):
+        words = prose(100 + i, 150).split()
+        texts[10 * i] = " ".join(words)
+        # one edited word changes five shingles of 146: similarity 136/156 after two, 126/166 after four
+        for d, at in ((1, [40 + i]), (2, [10 + i, 100]), (3, [5, 50, 75, 110])):
+            texts[10 * i + d] = " ".join(f"edit{i}{w}" if k in at else w for k, w in enumerate(words))
+    texts |= {1000: "the same short text", 1001: "The same  short text", 1002: "another short text", 1003: "", 1004: " "}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {d: set(nearcopies.shingles(t).tolist()) for d, t in texts.items()}
+    group = {d: d for d in texts}
+    for _ in range(3):
+        for d, a in sets.items():
+            group[d] = min(group[e] for e, b in sets.items() if 5 * len(a & b) >= 4 * len(a | b))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, table, "").collect()}
+    assert kept == set(group.values()) and 1 not in kept and 2 not in kept and 1001 not in kept and 1002 in kept
+
+
+def test_bucket_pairs_by_brute_force():
+    from glint.llm import nearcopies
+
+    rng = np.random.default_rng(5)
+    base = [rng.choice(400, 40, False) for _ in range(6)]
+    sets = [np.unique(np.concatenate((rng.choice(b, rng.integers(30, 41), False), rng.choice(400, 3)))) for b in base for _ in range(8)]
+    root = np.array([i // 4 * 4 if i % 4 < 3 else i for i in range(len(sets))])
+    rows = [(t, i, len(s), k, root[i]) for i, s in enumerate(sets) for k, t in enumerate(nearcopies.prefix(s, s[:0], s[:0]))]
+    got = {tuple(p) for p in nearcopies.bucket_pairs(*(np.array(c) for c in zip(*rows, strict=True))).tolist()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and nearcopies.alike(sets[i], sets[j])}
+    assert want and want <= got
