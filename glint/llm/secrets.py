@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and windows of high entropy in candidate strings.
 
-A candidate is a run of token characters. Its character class (hex, digits and letters
-of one case, or all) sets the window and the bits of Shannon entropy that a window must
-have. The counts of a window move on by one character at a time, and with them the sum
+A candidate is a run of token characters. Each of its longest pieces of one character
+class (digits, hex, digits and letters of one case), and the run as a whole, is scanned
+with the window and the bits of Shannon entropy of that class. The counts of a window move on by one character at a time, and with them the sum
 of c * log2(c), so a candidate costs the same however wide the window is. Strings on
-the allow list, such as UUIDs or words and numbers joined by signs, are passed over.
+the allow list, such as UUIDs or words and numbers joined by signs, are passed over; a
+mark of a sample, such as EXAMPLE, clears only the letters and digits it stands in.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 #: Character classes from narrow to wide: (full match, window, least bits in a window).
 CLASSES = (
-    (re.compile(r"[0-9]+"), 24, 9.0),
+    (re.compile(r"[0-9]+"), 24, 2.9),
     (re.compile(r"[0-9a-f]+|[0-9A-F]+"), 24, 3.1),
     (re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 20, 3.6),
     (re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8),
@@ -40,8 +41,11 @@ ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),
     re.compile(r"[A-Za-z]+"),
     re.compile(r"([A-Za-z]+|[0-9]+)([+/_=-]+([A-Za-z]+|[0-9]+))+[+/_=-]*"),
-    re.compile(r".*(EXAMPLE|example|xxxx|XXXX|0{8}|1234567).*"),
 )
+#: Letters and digits with a mark of a sample.
+SAMPLE = re.compile(r"[A-Za-z0-9]*?(?:EXAMPLE|example|xxxx|XXXX|0{8}|1234567)[A-Za-z0-9]*")
+#: The least length of a candidate, and of a piece.
+LEAST = 20
 
 _LOG = [0.0] + [c * math.log2(c) for c in range(1, 257)]
 
@@ -73,16 +77,42 @@ def allowed(text: str) -> bool:
     return any(p.fullmatch(text) for p in ALLOW)
 
 
+def pieces(run: str) -> list[tuple[int, int, int]]:
+    """(start, end, class) of what is scanned: the run, and its longest pieces of each class.
+
+    A piece that is part of one of a narrower class alone is left to that class.
+    """
+    found: list[tuple[int, int, int]] = []
+    for k, (chars, _, _) in enumerate(CLASSES):
+        for m in chars.finditer(run):
+            if m.end() - m.start() >= LEAST and not any(a <= m.start() and m.end() <= b for a, b, _ in found):
+                found.append((m.start(), m.end(), k))
+    return found
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of high entropy in the candidates of a text, in order."""
+    """Spans of high entropy in the candidates of a text, in order and apart."""
     spans = []
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if allowed(run):
-            continue
-        _, window, least = next(c for c in CLASSES if c[0].fullmatch(run))
-        spans += [(m.start() + a, m.start() + b) for a, b in entropy_windows(run, window, least)]
-    return spans
+        at = m.start()
+        # parts of the run without the samples
+        for part in _parts(m[0]):
+            for a, b, k in pieces(m[0][part[0] : part[1]]):
+                piece = m[0][part[0] + a : part[0] + b]
+                if not allowed(piece):
+                    spans += [(at + part[0] + a + x, at + part[0] + a + y) for x, y in entropy_windows(piece, *CLASSES[k][1:])]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _parts(run: str) -> list[tuple[int, int]]:
+    cuts = [0, *(x for m in SAMPLE.finditer(run) for x in m.span()), len(run)]
+    return [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if b - a >= LEAST]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
