@@ -99,7 +99,7 @@ def _made_name(hexes: Column, kind: Column, norm: Column, attempt: Column) -> Co
     return out
 
 
-def _made_email(hexes: Column, norm: Column) -> Column:
+def _made_email(hexes: Column, norm: Column, attempt: Column) -> Column:
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     letters = F.lit("abcdefghijklmnopqrstuvwxyz")
 
@@ -109,7 +109,9 @@ def _made_email(hexes: Column, norm: Column) -> Column:
 
     labels = F.split(domain, r"\.")
     host = F.when(F.size(labels) > 2, F.concat(masked(F.array_join(F.slice(labels, 1, F.size(labels) - 2), "."), 5), F.lit("."))).otherwise("")
-    return F.concat(masked(local, 0), F.lit("@"), host, F.lit("example."), F.element_at(labels, -1))
+    # the shape of an address bounds its surrogates; a label that grows with the attempts doesn't
+    label = F.array_join(F.transform(F.sequence(F.lit(0), F.least(F.lit(15), attempt + 2)), lambda i: F.substr(letters, _number(hexes, i, 26) + 1, F.lit(1))), "")
+    return F.concat(masked(local, 0), F.lit("@"), host, F.when(attempt > 0, F.concat(label, F.lit("."))).otherwise(""), F.lit("example."), F.element_at(labels, -1))
 
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
@@ -120,7 +122,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     card = F.concat(body, F.when(_luhn(norm) % 10 == 0, check).otherwise(_number(hexes, 15, 10).cast("string")))
     phone = F.concat((_number(hexes, 0, 8) + 2).cast("string"), F.substr(_digits(hexes, F.lit(10)), F.lit(2), F.lit(2)), F.when(F.substr(norm, F.lit(4), F.lit(3)) == "555", "555").otherwise(F.concat((_number(hexes, 3, 8) + 2).cast("string"), F.substr(_digits(hexes, F.lit(10)), F.lit(5), F.lit(2)))), F.substr(_digits(hexes, F.lit(12)), F.lit(9), F.lit(4)))
     ip = F.concat_ws(".", (_number(hexes, 0, 116) + 11).cast("string"), _number(hexes, 1, 256).cast("string"), _number(hexes, 2, 256).cast("string"), (_number(hexes, 3, 254) + 1).cast("string"))
-    return F.when(kind == "email", _made_email(hexes, norm)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _digits(hexes, n)).when(kind == "ip", ip).otherwise(_made_name(hexes, kind, norm, attempt))
+    return F.when(kind == "email", _made_email(hexes, norm, attempt)).when(kind == "card", card).when(kind == "phone", phone).when(kind == "ssn", _digits(hexes, n)).when(kind == "ip", ip).otherwise(_made_name(hexes, kind, norm, attempt))
 
 
 def surrogates(norms: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:

@@ -308,6 +308,13 @@ def test_surrogates_stay_distinct(spark):
         assert s.select("surrogate").distinct().count() == n and s.join(s.select(F.col("norm").alias("v")), F.col("surrogate") == F.col("v")).count() == 0
 
 
+def test_short_addresses_stay_distinct(spark):
+    mails = spark.range(4000).select(F.lit("email").alias("kind"), F.concat(F.when(F.col("id") % 2 == 0, "x").otherwise("."), F.lit("@d"), "id", F.lit(".com")).alias("norm"))
+    made = pii.surrogates(mails, "key").collect()
+    assert len({r.surrogate for r in made}) == 4000 and not {r.surrogate for r in made} & {r.norm for r in made}
+    assert all(re.fullmatch(r"([a-z]|\.)@([a-z]+\.)?example\.com", r.surrogate) for r in made)
+
+
 def test_search(spark, docs, none):
     import collections
     import math
