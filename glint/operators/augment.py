@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import below, gaussian, ticket, uniform
 from ..functions.pixels import clamp
-from ..schema import COLUMNS, numbered
+from ..schema import COLUMNS, appended_numbers, numbered
 from .core import merge
 
 
@@ -27,8 +27,39 @@ def _bounds(df: DataFrame) -> tuple[int, int, float, float]:
 
 def appended(df: DataFrame, more: DataFrame) -> DataFrame:
     """df, then more, numbered in that order."""
-    both = df.select(*COLUMNS, F.lit(0).alias("_of")).unionByName(more.select(*COLUMNS, F.lit(1).alias("_of"))).withColumn("_seq", F.col("seq"))
-    return numbered(both, "_of", "_seq").select(*COLUMNS)
+    return appended_numbers(df.select(*COLUMNS), more.select(*COLUMNS)).select(*COLUMNS)
+
+
+#: Rows that the last step of a draw sorts, and bits of the hash that each step before it looks at.
+LAST, BITS = 10_000, 12
+
+
+def _drawn(df: DataFrame, k: int, hashed: Column, *keys: str) -> Column | None:
+    """The condition that holds for exactly k rows, those of least (hash, keys); None if there are no more than k.
+
+    Counts by the hash's leading bits find the k-th hash, a few bits at a time, until few
+    enough rows are left to sort; no more than those are ever in one task. A null in the
+    keys counts as least.
+    """
+    rows, shift, before = df.select(hashed.alias("_h"), *keys), 64, 0
+    low, n = None, rows.count()
+    if n <= k:
+        return None
+    while n > LAST and shift > 0:
+        shift = max(0, shift - BITS)
+        counts = rows.groupBy(F.shiftright("_h", shift).alias("cell")).count().orderBy("cell").collect()  # at most 2^BITS rows
+        for r in counts:
+            low, n = r.cell, r["count"]
+            if before + n >= k:
+                break
+            before += n
+        rows = rows.where(F.shiftright("_h", shift) == low)
+    last = rows.orderBy("_h", *keys).limit(k - before).agg(F.max(F.struct("_h", *keys)).alias("last")).first().last if k else None
+    if last is None:
+        return F.lit(False)
+    kinds = ["bigint", *(rows.schema[c].dataType for c in keys)]
+    least = F.struct(*(F.lit(v).cast(k).alias(f"k{i}") for i, (v, k) in enumerate(zip(last, kinds, strict=True))))
+    return F.struct(hashed.alias("k0"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keys, 1))) <= least
 
 
 def add_random(df: DataFrame, n: int, *, seed: int, width: int | None = None, height: int | None = None, t_min: float | None = None, t_max: float | None = None, sort: bool = True, return_merged: bool = True) -> DataFrame:
@@ -47,8 +78,8 @@ def remove_random(df: DataFrame, k: int, *, seed: int, add_noise: int = 0) -> Da
     With noise, that many random events over the whole range of df are added and all are
     sorted by time, unless every event was removed.
     """
-    gone = df.orderBy(ticket(seed, "remove", F.col("seq")), "seq").limit(k).select(F.col("seq").alias("gone"))
-    kept = df.join(gone, F.col("seq") == F.col("gone"), "left_anti")
+    gone = _drawn(df, k, ticket(seed, "remove", F.col("seq")), "seq")
+    kept = df.where(~gone) if gone is not None else df.limit(0)
     if not add_noise or not kept.limit(1).count():
         return kept
     w, h, a, b = _bounds(df)
@@ -68,7 +99,8 @@ def add_correlated(df: DataFrame, k: int, *, seed: int, xy_std: float = 1.5, ts_
     copies = -(-k // n)
     row = (F.col("seq"), F.col("_copy"))
     many = df.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, copies)))))
-    new = many.orderBy(ticket(seed, "copy", *row), "seq", "_copy").limit(k)
+    chosen = _drawn(many, k, ticket(seed, "copy", *row), "seq", "_copy")
+    new = many.where(chosen) if chosen is not None else many
     new = new.select(F.xxhash64(*row).alias("seq"), (F.col("t") + gaussian(ts_std, seed, "t", *row)).alias("t"), clamp(F.round(F.col("x") + gaussian(xy_std, seed, "x", *row)), 0.0, float(w - 1)).cast("int").alias("x"), clamp(F.round(F.col("y") + gaussian(xy_std, seed, "y", *row)), 0.0, float(h - 1)).cast("int").alias("y"), "p")
     if add_noise:
         new = new.unionByName(random_events(df.sparkSession, add_noise, width=w, height=h, t_min=a, t_max=b, seed=seed + 1))

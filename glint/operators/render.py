@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import in_frame, with_row
+from ..functions.pixels import clamp, in_frame, with_row
 from .grids import temporal_histogram
 
 
@@ -37,8 +37,9 @@ def overlay_events(df: DataFrame, frame: DataFrame, *, width: int, height: int,
     """y, x, r, g, b: the frame (y, x, r, g, b) with events blended over it one after another.
 
     Each event's blend is cut to whole numbers before the next, so order counts: a fold
-    over a pixel's polarities in order. Only what differs is kept: runs of a pixel's
-    events are folded in the task that has the pixel.
+    over a pixel's polarities in order. The events of a pixel meet in one row, 16 bytes
+    each, so a pixel is to have well below a hundred million; a stream with hotter pixels
+    is drawn window by window, each over the picture before.
     """
     seen = df.where(in_frame(width, height)).groupBy("y", "x").agg(F.sort_array(F.collect_list(F.struct("seq", "p"))).alias("hits"))
     joined = frame.join(seen, ["y", "x"], "left")
@@ -53,6 +54,15 @@ def overlay_events(df: DataFrame, frame: DataFrame, *, width: int, height: int,
     return joined.select("y", "x", folded("r", 255, 0), folded("g", 0, 0), folded("b", 0, 255))
 
 
+def _unit(value: Column) -> Column:
+    lo, hi = F.col("_lo"), F.col("_hi")
+    return F.when(hi <= lo, 0.0).when((lo >= 0) & (hi <= 1), value).otherwise(F.try_divide(value - lo, hi - lo))
+
+
+def _byte(share: Column) -> Column:
+    return (clamp(share, 0.0, 1.0) * 255).cast("int")
+
+
 def colour_map(image: DataFrame, name: str = "gray") -> DataFrame:
     """y, x, r, g, b of a dense relation (y, x, value).
 
@@ -61,16 +71,25 @@ def colour_map(image: DataFrame, name: str = "gray") -> DataFrame:
     """
     bounds = image.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     whole = with_row(image, bounds)
-    lo, hi = F.col("_lo"), F.col("_hi")
-    v = F.when(hi <= lo, 0.0).when((lo >= 0) & (hi <= 1), F.col("value")).otherwise(F.try_divide(F.col("value") - lo, hi - lo))
-    byte = lambda c: (F.greatest(F.least(c, F.lit(1.0)), F.lit(0.0)) * 255).cast("int")
+    v = _unit(F.col("value"))
     if name == "gray":
-        return whole.select("y", "x", *(byte(v).alias(c) for c in "rgb"))
+        return whole.select("y", "x", *(_byte(v).alias(c) for c in "rgb"))
     if name == "jet":
-        return whole.select("y", "x", *(byte(F.lit(1.5) - F.abs(v * 4 - k)).alias(c) for c, k in (("r", 3.0), ("g", 2.0), ("b", 1.0))))
+        return whole.select("y", "x", *(_byte(F.lit(1.5) - F.abs(v * 2 - k)).alias(c) for c, k in (("r", 1.0), ("g", 0.5), ("b", 0.0))))
     raise ValueError("the map is gray or jet")
 
 
+def rgb_image(image: DataFrame) -> DataFrame:
+    """y, x, r, g, b of a dense relation (channel, y, x, value) with channels 0, 1, 2.
+
+    Values are put into 0..1 as in colour_map, by the least and greatest of all channels.
+    A channel without a value at a pixel counts as 0.
+    """
+    wide = image.groupBy("y", "x").agg(*(F.max(F.when(F.col("channel") == i, F.col("value"))).alias(c) for i, c in enumerate("rgb")))
+    whole = with_row(wide, image.agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")))
+    return whole.select("y", "x", *(F.coalesce(_byte(_unit(F.col(c))), F.lit(0)).alias(c) for c in "rgb"))
+
+
 def histogram_image(df: DataFrame, *, bins: int) -> DataFrame:
     """y, x, r, g, b of the non-white pixels of a picture of bins x 100: red bars up, blue bars down."""
     counts = temporal_histogram(df, bins=bins)
@@ -93,27 +112,28 @@ def line_pixels(x0: int, y0: int, x1: int, y1: int) -> list[tuple[int, int]]:
 
 
 def flow_image(flow: DataFrame, *, width: int, height: int, grid: int) -> np.ndarray:
-    """A (height, width, 3) picture on the driver: an arrow for each cell of (row, col, vx, vy).
+    """A (height, width, 3) picture on the driver: a blue arrow for each cell of (row, col, vx, vy).
 
     Arrows begin at the cell's centre and are up to grid / 2.5 long, in proportion to the
-    greatest speed. The picture is white if the cells don't fill the grid.
+    greatest speed; their ends are kept within the picture and cut to whole pixels. The
+    two strokes of a head are 5 long. Cells that hardly move, or whose centre is outside,
+    have none. The picture is white if the cells don't fill the grid.
     """
     picture = np.full((height, width, 3), 255, np.uint8)
     cells = flow.select("row", "col", "vx", "vy").collect()  # a cell for each square of the picture
-    fastest = max((math.hypot(c.vx, c.vy) for c in cells), default=0.0)
-    if len(cells) != math.ceil(width / grid) * math.ceil(height / grid) or fastest <= 0:
+    if len(cells) != math.ceil(width / grid) * math.ceil(height / grid):
         return picture
+    fastest = max((math.hypot(c.vx, c.vy) for c in cells), default=0.0)
     for row, col, vx, vy in cells:
-        speed = math.hypot(vx, vy)
-        if speed < 1e-6:
-            continue
         x0, y0 = col * grid + grid // 2, row * grid + grid // 2
-        long = grid / 2.5 * speed / fastest
-        turn = math.atan2(vy, vx)
-        x1, y1 = round(x0 + long * math.cos(turn)), round(y0 + long * math.sin(turn))
-        strokes = [(x0, y0, x1, y1)] + [(x1, y1, round(x1 + 5 * math.cos(turn + a)), round(y1 + 5 * math.sin(turn + a))) for a in (math.radians(135), -math.radians(135))]
-        for stroke in strokes:
-            for x, y in line_pixels(*stroke):
+        if max(abs(vx), abs(vy)) < 1e-5 or x0 >= width or y0 >= height:
+            continue
+        long = grid / 2.5 / fastest  # of a cell that moves by 1
+        x1, y1 = (int(min(max(at + v * long, 0.0), most - 1.0)) for at, v, most in ((x0, vx, width), (y0, vy, height)))
+        turn = math.atan2(y1 - y0, x1 - x0)
+        heads = [(max(0, round(x1 + 5 * math.cos(turn + a))), max(0, round(y1 + 5 * math.sin(turn + a)))) for a in (math.radians(135), -math.radians(135))]
+        for end, start in (((x1, y1), (x0, y0)), *((head, (x1, y1)) for head in heads)):
+            for x, y in line_pixels(*start, *end):
                 if 0 <= x < width and 0 <= y < height:
-                    picture[y, x] = 0
+                    picture[y, x] = (0, 0, 255)
     return picture

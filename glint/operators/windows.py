@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +29,20 @@ def tumbling(df: DataFrame, duration: float, origin: float | None = None) -> Dat
 def tumbling_exact(df: DataFrame, duration: float) -> DataFrame:
     """As tumbling, with edges made by adding the duration again and again.
 
-    The edges are one number for each window; they are put together on the driver and
-    broadcast, so this is for as many windows as a driver holds.
+    The edges are one number for each window, put together on the driver; every task finds
+    its events' windows in them by halving. This is for as many windows as a driver holds.
+    Events before the first one by position are in no window.
     """
     _positive(duration)
     row = df.agg(F.min_by("t", "seq"), F.max("t")).first()
     if row[0] is None:
         return df.withColumn("w", F.lit(0).cast("long"))
-    edges, end = [], row[0]
-    while end <= row[1]:
-        edges.append((len(edges), end, end + duration))
-        end += duration
-    spans = df.sparkSession.createDataFrame(edges, "w long, _lo double, _hi double")
-    return df.join(F.broadcast(spans), (F.col("t") >= F.col("_lo")) & (F.col("t") < F.col("_hi"))).drop("_lo", "_hi")
+    edges = [row[0]]
+    while edges[-1] <= row[1]:
+        edges.append(edges[-1] + duration)
+    cut = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="_at", outputCol="_w", handleInvalid="skip")
+    found = cut.transform(df.withColumn("_at", F.col("t") + F.lit(0.0)))
+    return found.where("_w >= 1").withColumn("w", F.col("_w").cast("long") - 1).drop("_at", "_w")
 
 
 def closed_windows(df: DataFrame, duration: float) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import augment, core, grids, motion, recon, render, transforms, windows
+from ..operators import augment, core, grids, motion, recon, render, synthetic, transforms, windows
+from ..sources import readers, writers
 
 WIDTH, HEIGHT = 64, 48
 DAY = 86_400.0
@@ -62,7 +65,7 @@ _query("block", core.to_block, "SELECT x::double AS x, y::double AS y, t, p::dou
 _query("tensor_block", lambda e: core.to_tensor_block(e).select(*(F.col(c).cast("double").alias(c) for c in "xytp")), "SELECT x::double AS x, y::double AS y, t::float::double AS t, p::double AS p FROM e")
 _query("time_filter", lambda e: core.filter_by_time(e, T_LO, T_HI), f"SELECT * FROM e WHERE t BETWEEN {T_LO}::double AND {T_HI}::double")
 _query("polarity_split", lambda e: core.split_by_polarity(e)[0].withColumn("part", F.lit("positive")).unionAll(core.split_by_polarity(e)[1].withColumn("part", F.lit("negative"))), "SELECT *, CASE WHEN p >= 0 THEN 'positive' ELSE 'negative' END AS part FROM e")
-_query("merge_streams", lambda e: core.merge(e.where("seq % 3 = 0"), e.where("seq % 3 = 1"), e.where("seq % 2 = 0")), "SELECT row_number() OVER (ORDER BY t, s, seq) - 1 AS seq, t, x, y, p FROM (SELECT *, 0 AS s FROM e WHERE seq % 3 = 0 UNION ALL SELECT *, 1 FROM e WHERE seq % 3 = 1 UNION ALL SELECT *, 2 FROM e WHERE seq % 2 = 0)")
+_query("merge_streams", lambda e: core.merge(*core.split_by_polarity(e), e), "SELECT row_number() OVER (ORDER BY t, s, seq) - 1 AS seq, t, x, y, p FROM (SELECT *, 0 AS s FROM e WHERE p >= 0 UNION ALL SELECT *, 1 FROM e WHERE p < 0 UNION ALL SELECT *, 2 FROM e)")
 _query("sorted_by_time", lambda e: core.sort_by_time(e.withColumn("t", -F.col("t"))), "SELECT row_number() OVER (ORDER BY -t, seq) - 1 AS seq, -t AS t, x, y, p FROM e")
 _query("bounding_box", core.bounding_box, "SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM e")
 _query("resolution", core.resolution, "SELECT coalesce(max(x) + 1, 0) AS width, coalesce(max(y) + 1, 0) AS height FROM e")
@@ -102,7 +105,7 @@ _query("draw_polarity", lambda e: render.draw_events(e, **_size), f", {_last} SE
 _query("draw_time", lambda e: render.draw_events(e, mode="time", **_size), f", {_last}, k AS (SELECT y, x, cast(trunc((t - lo) / (hi - lo) * 255) AS int) AS v FROM l, b) SELECT y, x, v AS r, v AS g, v AS b FROM k")
 _query("draw_polarity_time", lambda e: render.draw_events(e, mode="polarity_time", **_size), f", {_last}, k AS (SELECT y, x, p, 50 + cast(trunc((t - lo) / (hi - lo) * 205) AS int) AS v FROM l, b) SELECT y, x, CASE WHEN p > 0 THEN v ELSE 0 END AS r, 0 AS g, CASE WHEN p > 0 THEN 0 ELSE v END AS b FROM k")
 _query("overlay", lambda e: render.overlay_events(e, grids.densify(e.limit(0).select("y", "x", *(F.lit(0).alias(c) for c in "rgb")), fill=100, **_size), **_size), f", {_PIX}, h AS (SELECT y, x, list(p ORDER BY seq) AS ps FROM e GROUP BY ALL) SELECT px.y, px.x, cast(list_reduce(list_transform(coalesce(ps, []), lambda q: CASE WHEN q > 0 THEN 255.0::double ELSE 0.0::double END), lambda a, c: floor(a * 0.5 + c * 0.5), 100.0::double) AS int) AS r, cast(list_reduce(list_transform(coalesce(ps, []), lambda q: 0.0::double), lambda a, c: floor(a * 0.5 + c * 0.5), 100.0::double) AS int) AS g, cast(list_reduce(list_transform(coalesce(ps, []), lambda q: CASE WHEN q > 0 THEN 0.0::double ELSE 255.0::double END), lambda a, c: floor(a * 0.5 + c * 0.5), 100.0::double) AS int) AS b FROM px LEFT JOIN h ON h.y = px.y AND h.x = px.x")
-_query("colour_map_jet", lambda e: render.colour_map(recon.frame(e, **_size), "jet"), f", {_PIX}, d AS (SELECT px.y, px.x, coalesce(s, 0.0::double) AS s FROM px LEFT JOIN (SELECT y, x, sum(p)::double AS s FROM e GROUP BY ALL) i ON i.y = px.y AND i.x = px.x), m AS (SELECT min(s) AS l, max(s) AS h FROM d), v AS (SELECT y, x, (s - l) / (h - l) AS v FROM d, m) SELECT y, x, cast(trunc(least(greatest(1.5 - abs(v * 4 - 3), 0), 1)::double * 255) AS int) AS r, cast(trunc(least(greatest(1.5 - abs(v * 4 - 2), 0), 1)::double * 255) AS int) AS g, cast(trunc(least(greatest(1.5 - abs(v * 4 - 1), 0), 1)::double * 255) AS int) AS b FROM v")
+_query("colour_map_jet", lambda e: render.colour_map(recon.frame(e, **_size), "jet"), f", {_PIX}, d AS (SELECT px.y, px.x, coalesce(s, 0.0::double) AS s FROM px LEFT JOIN (SELECT y, x, sum(p)::double AS s FROM e GROUP BY ALL) i ON i.y = px.y AND i.x = px.x), m AS (SELECT min(s) AS l, max(s) AS h FROM d), v AS (SELECT y, x, (s - l) / (h - l) AS v FROM d, m) SELECT y, x, cast(trunc(least(greatest(1.5 - abs(v * 2 - 1.0), 0), 1)::double * 255) AS int) AS r, cast(trunc(least(greatest(1.5 - abs(v * 2 - 0.5), 0), 1)::double * 255) AS int) AS g, cast(trunc(least(greatest(1.5 - abs(v * 2 - 0.0), 0), 1)::double * 255) AS int) AS b FROM v")
 _query("histogram_image", lambda e: render.histogram_image(e, bins=20), ", c AS (SELECT cast(trunc((t - lo) / (hi - lo) * 19) AS int) AS x, count(*) FILTER (p > 0) AS u, count(*) FILTER (p <= 0) AS d FROM e, b GROUP BY ALL), m AS (SELECT greatest(max(u), max(d), 1) AS top FROM c), k AS (SELECT x, cast(trunc(u::double / top * 50) AS int) AS u, cast(trunc(d::double / top * 50) AS int) AS d FROM c, m) SELECT cast(i AS int) AS y, x, 255 AS r, 0 AS g, 0 AS b FROM k, range(50) r(i) WHERE i >= 50 - u UNION ALL SELECT cast(i AS int), x, 0, 0, 255 FROM k, range(51, 100) r(i) WHERE i < 50 + d UNION ALL SELECT 50, cast(i AS int), 0, 0, 0 FROM range(20) r(i)")
 _query("decay_surface", lambda e: grids.decay_surface(e, decay=DAY, **_size).withColumn("value", F.round("value", 9)), f"SELECT channel, y, x, round(exp(-(hi - v) / {DAY}::double), 9) AS value FROM (SELECT CASE WHEN p > 0 THEN 0 ELSE 1 END AS channel, y, x, arg_max(t, seq) AS v FROM e GROUP BY ALL), b")
 _query("add_random", lambda e: _ordered(augment.add_random(e, 500, seed=7)))
@@ -111,3 +114,89 @@ _query("remove_random", lambda e: _ordered(augment.remove_random(e, 100, seed=7)
 _query("remove_random_noise", lambda e: _ordered(augment.remove_random(e, 100, seed=7, add_noise=50)))
 _query("add_correlated", lambda e: _ordered(augment.add_correlated(e, 1500, seed=7, add_noise=20)))
 _query("add_correlated_sampled", lambda e: _ordered(augment.add_correlated_sampled(e, 300, seed=7, xy_std=1.5, ts_std=0.001)))
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new path in spark.checkpoint.dir, or, in a single process that has none, of this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and "cluster" not in spark.sparkContext.master and spark.sparkContext.master.startswith("local"):
+        root = tempfile.gettempdir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root.rstrip('/')}/events-{uuid.uuid4().hex}"
+
+
+def _through_text(e: DataFrame, read: Callable[[SparkSession, str], DataFrame], single_file: bool = False) -> DataFrame:
+    path = _folder(e.sparkSession)
+    writers.write_text(e, path, single_file=single_file)
+    return _ordered(read(e.sparkSession, path))
+
+
+def _through_binary(e: DataFrame) -> DataFrame:
+    """The writer is the driver's own, so this needs a folder that it sees as a file."""
+    path = _folder(e.sparkSession).removeprefix("file://") + ".bin"
+    writers.write_binary(e, path)
+    return _ordered(readers.read_events(e.sparkSession, path))
+
+
+def _through_parquet(e: DataFrame) -> DataFrame:
+    path = _folder(e.sparkSession) + ".parquet"
+    writers.write_parquet(e, path)
+    return _ordered(readers.read_events(e.sparkSession, path, t_start=T_LO, t_end=T_HI))
+
+
+_query("text_source", lambda e: _through_text(e, readers.read_text), "SELECT row_number() OVER (ORDER BY seq) AS seq, t, x, y, p FROM e")
+_query("text_source_strict", lambda e: _through_text(e, lambda spark, path: readers.read_text(spark, path, strict=True), single_file=True), "SELECT row_number() OVER (ORDER BY seq) AS seq, t, x, y, p FROM e")
+_query("text_source_bounds", lambda e: _through_text(e, lambda spark, path: readers.read_events(spark, path, t_start=T_LO, t_end=T_HI, min_x=5, max_x=50, min_y=4, max_y=40, polarity=1, sort=True)), f"SELECT row_number() OVER (ORDER BY t, seq) - 1 AS seq, t, x, y, p FROM e WHERE t >= {T_LO}::double AND t < {T_HI}::double AND x BETWEEN 5 AND 50 AND y BETWEEN 4 AND 40 AND p = 1")
+_query("binary_source", _through_binary, "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, t, x, y, p FROM e")
+_query("parquet_source_bounds", _through_parquet, f"SELECT * FROM e WHERE t >= {T_LO}::double AND t < {T_HI}::double")
+_query("array_source", lambda e: _ordered(readers.from_arrays(e.sparkSession, *writers.to_arrays(e))), "SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, t, x, y, p FROM e")
+_query("iterator", lambda e: e.sparkSession.createDataFrame(readers.iterate(e), "t double, x int, y int, p int"), "SELECT t, x, y, p FROM e")
+_query("window_count_images", lambda e: windows.window_grids(e, DAY, kind="count", **_size).select("w", "bin", "y", "x", "value"), f", v AS (SELECT *, cast(greatest(ceil((t - t0) / {DAY}::double) - 1, 0) AS bigint) AS w FROM e, b) SELECT w, 0 AS bin, y, x, count(*) AS value FROM v GROUP BY ALL")
+_query("window_polarity_images", lambda e: windows.window_grids(e, DAY, kind="polarity", **_size).select("w", "bin", "y", "x", "value"), f", v AS (SELECT *, cast(greatest(ceil((t - t0) / {DAY}::double) - 1, 0) AS bigint) AS w FROM e, b) SELECT w, 0 AS bin, y, x, cast(sum(p) AS bigint) AS value FROM v GROUP BY ALL")
+_dense = f", {_PIX}, d AS (SELECT px.y, px.x, coalesce(s, 0.0::double) AS s FROM px LEFT JOIN (SELECT y, x, sum(p)::double AS s FROM e GROUP BY ALL) i ON i.y = px.y AND i.x = px.x), m AS (SELECT min(s) AS l, max(s) AS h FROM d)"
+_query("colour_map_gray", lambda e: render.colour_map(recon.frame(e, **_size)), f"{_dense}, v AS (SELECT y, x, cast(trunc((s - l) / (h - l) * 255) AS int) AS v FROM d, m) SELECT y, x, v AS r, v AS g, v AS b FROM v")
+_query("rgb_image", lambda e: render.rgb_image(grids.densify(grids.voxel_grid(e, bins=3, **_size).withColumnRenamed("bin", "channel"), channels=3, **_size)), f", {_PIX}, k AS (SELECT {_BIN.replace('* 5, 0.0), 4.0)', '* 3, 0.0), 2.0)')} AS c, y, x, count(*) AS n FROM e, b GROUP BY ALL), d AS (SELECT c.i AS c, px.y, px.x, coalesce(n, 0) AS n FROM px CROSS JOIN range(3) c(i) LEFT JOIN k ON k.c = c.i AND k.y = px.y AND k.x = px.x), m AS (SELECT min(n) AS l, max(n) AS h FROM d), v AS (SELECT c, y, x, cast(trunc(CASE WHEN h <= l THEN 0.0::double WHEN l >= 0 AND h <= 1 THEN n::double ELSE (n - l)::double / (h - l) END * 255) AS int) AS v FROM d, m) SELECT y, x, max(v) FILTER (c = 0) AS r, max(v) FILTER (c = 1) AS g, max(v) FILTER (c = 2) AS b FROM v GROUP BY y, x")
+
+
+def _flow_picture(e: DataFrame) -> DataFrame:
+    """The marked pixels of a picture of the flow of each half of the frame's cells."""
+    cells = e.sparkSession.range(3 * 4).select((F.col("id") / 4).cast("int").alias("row"), (F.col("id") % 4).cast("int").alias("col"), (F.col("id") % 3 - 1.0).alias("vx"), (F.col("id") % 5 - 2.0).alias("vy"))
+    picture = render.flow_image(cells, width=WIDTH, height=HEIGHT, grid=16)
+    y, x = (picture != 255).any(axis=2).nonzero()
+    return e.sparkSession.createDataFrame([(int(a), int(b), *map(int, picture[a, b])) for a, b in zip(y, x, strict=True)], "y int, x int, r int, g int, b int")
+
+
+_query("flow_image", _flow_picture)
+_query("refine_flow", lambda e: motion.refine_flow(e, FLOW, **_size).select(F.round("vx", 12).alias("vx"), F.round("vy", 12).alias("vy"), F.round("score", 9).alias("score")))
+_query("synthetic_spiral", lambda e: synthetic.spiral(e.sparkSession, 1000))
+
+
+def _properties(build: Callable[[DataFrame], DataFrame], ordered: bool = True) -> Callable[[DataFrame], DataFrame]:
+    """One row about an augmented stream: its numbers, what it has of the old events, and where the others lie."""
+
+    def made(e: DataFrame) -> DataFrame:
+        out = build(e).select("seq", "t", "x", "y", "p").withColumn("_block", F.floor(F.col("seq") / 64))
+        values = ("t", "x", "y", "p")
+        tagged = e.select(*values, F.lit(1).alias("_old"), F.lit(0).alias("_now")).unionByName(out.select(*values, F.lit(0).alias("_old"), F.lit(1).alias("_now")))
+        each = tagged.groupBy(*values).agg(F.sum("_old").alias("_old"), F.sum("_now").alias("_now")).crossJoin(F.broadcast(e.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.max("x").alias("_w"), F.max("y").alias("_h"))))
+        inside = F.col("x").between(0, F.col("_w")) & F.col("y").between(0, F.col("_h")) & F.col("p").isin(-1, 0, 1) & F.col("t").between(F.col("_lo") - 1, F.col("_hi") + 1)
+        about = each.agg(F.sum(F.least("_old", "_now")).alias("n_old"), F.sum(F.greatest(F.col("_now") - F.col("_old"), F.lit(0))).alias("n_new"), F.bool_and(inside | (F.col("_now") <= F.col("_old"))).alias("new_inside"))
+        numbers = out.agg(F.count("*").alias("n_events"), F.count_distinct("seq").alias("n_seq"))
+        blocks = out.groupBy("_block").agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+        after = blocks.withColumn("_before", F.lag("_b").over(Window.orderBy("_block"))).agg(F.bool_and(F.coalesce(F.col("_a") >= F.col("_before"), F.lit(True))).alias("in_order"))
+        return numbers.crossJoin(about).crossJoin(after.select((F.col("in_order") | F.lit(not ordered)).alias("in_order")))
+
+    return made
+
+
+def _said(n_old: str, n_new: str) -> str:
+    return f"SELECT {n_old} + {n_new} AS n_events, {n_old} + {n_new} AS n_seq, cast({n_old} AS bigint) AS n_old, cast({n_new} AS bigint) AS n_new, true AS new_inside, true AS in_order FROM e"
+
+
+_query("add_random_properties", _properties(lambda e: augment.add_random(e, 500, seed=7)), _said("count(*)", "500"))
+_query("add_random_only_new_properties", _properties(lambda e: augment.add_random(e, 500, seed=7, return_merged=False), ordered=False), _said("0", "max(500)"))
+_query("remove_random_properties", _properties(lambda e: augment.remove_random(e, 100, seed=7), ordered=False), _said("(count(*) - 100)", "0"))
+_query("remove_random_noise_properties", _properties(lambda e: augment.remove_random(e, 100, seed=7, add_noise=50)), _said("(count(*) - 100)", "50"))
+_query("add_correlated_properties", _properties(lambda e: augment.add_correlated(e, 1500, seed=7, add_noise=20)), _said("count(*)", "1520"))
+_query("add_correlated_sampled_properties", _properties(lambda e: augment.add_correlated_sampled(e, 300, seed=7, xy_std=1.5, ts_std=0.001), ordered=False), _said("count(*)", "300"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+from operator import and_
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,14 +44,58 @@ def signed(df: DataFrame) -> DataFrame:
     return df.withColumn("p", F.when(F.col("p") == 0, -1).otherwise(F.col("p")))
 
 
+def _in_buckets(df: DataFrame, key: str, bounds: list[float], out: str) -> DataFrame:
+    """df with the number of its bucket between ascending bounds; null and NaN come last."""
+    if not bounds:
+        return df.withColumn(out, F.lit(0.0))
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="_lead", outputCol=out, handleInvalid="keep")
+    return cut.transform(df.withColumn("_lead", F.col(key).cast("double") + F.lit(0.0))).drop("_lead")
+
+
+def _quantiles(df: DataFrame, key: str, n: int) -> list[float]:
+    """n - 1 approximate quantiles; a value that holds more rows than one bucket should comes several times."""
+    found = df.agg(F.percentile_approx(F.col(key).cast("double"), [i / n for i in range(1, n)], 10 * n)).first()[0] or []
+    return [q + 0.0 for q in found if q is not None and math.isfinite(q)]
+
+
 def numbered(df: DataFrame, *order: str) -> DataFrame:
     """seq counted from 0 in the given order, without gathering the rows in one task.
 
-    Rows are dealt by range of the order; a count for each range gives its first number.
+    The first and the last key are numbers. Rows go to buckets by their values alone: the
+    bounds are quantiles of the first key, taken once and put into the plan, so that it
+    makes no difference how often or over how many partitions the plan is evaluated.
+    Rows are numbered in their bucket, and a count for each bucket gives its first number.
+    A value of the first key that fills buckets by itself is one bucket of its own, parted
+    further by the other keys. Null and NaN come last; rows equal in all keys get
+    numbers in any order.
     """
-    keys = [F.col(c) for c in order]
-    ranged = df.drop("seq").repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_id").alias("_low"))
-    firsts = counts.selectExpr("_part as _range_of", "_low", "coalesce(sum(_n) over (order by _part rows between unbounded preceding and 1 preceding), 0) as _first")  # a row for each partition
-    joined = ranged.join(F.broadcast(firsts), F.col("_part") == F.col("_range_of"))
-    return joined.select((F.col("_first") + F.col("_id") - F.col("_low")).alias("seq"), *(c for c in df.columns if c != "seq"))
+    n = max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.drop("seq") if "seq" not in order else df
+    found = _quantiles(rows, order[0], n)
+    heavy = sorted({q for q in found if found.count(q) > 1}) if len(set(found)) < len(found) else []
+    bounds = sorted({*found, *(math.nextafter(q, math.inf) for q in heavy)})
+    parted = _in_buckets(rows, order[0], bounds, "_bucket0")
+    parts = ["_bucket0"]
+    if heavy and len(order) > 1:
+        full = F.col(order[0]).cast("double").isin(heavy)
+        for i, key in enumerate(order[1:-1], 1):  # a few values, such as the number of a stream
+            parted = parted.withColumn(f"_bucket{i}", F.when(full, F.col(key).cast("double")).otherwise(0.0))
+            parts.append(f"_bucket{i}")
+        last = f"_bucket{len(order) - 1}"
+        inner = sorted(set(_quantiles(parted.where(full), order[-1], n)))
+        parted = _in_buckets(parted, order[-1], inner, last).withColumn(last, F.when(full, F.col(last)).otherwise(0.0))
+        parts.append(last)
+    counts = parted.groupBy(*parts).agg(F.count("*").alias("_n"))
+    by = ", ".join(parts)
+    firsts = counts.selectExpr(*(f"{c} as _of{c}" for c in parts), f"coalesce(sum(_n) over (order by {by} rows between unbounded preceding and 1 preceding), 0) as _first")  # a row for each bucket
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy(*(F.col(c).asc_nulls_last() for c in order)))
+    same = [F.col(c) == F.col(f"_of{c}") for c in parts]
+    joined = parted.withColumn("_place", place).join(F.broadcast(firsts), reduce(and_, same))
+    return joined.select((F.col("_first") + F.col("_place") - 1).alias("seq"), *(c for c in df.columns if c != "seq"))
+
+
+def appended_numbers(df: DataFrame, more: DataFrame) -> DataFrame:
+    """df, then more, each in the order of its seq, numbered from 0."""
+    base = df.agg(F.count("*").alias("_base"))
+    again = numbered(more, "seq")
+    return numbered(df, "seq").unionByName(again.join(F.broadcast(base)).withColumn("seq", F.col("seq") + F.col("_base")).drop("_base"))  # a single row

@@ -28,6 +28,11 @@ def read_text(spark: SparkSession, path: str, *, strict: bool = False, delimiter
     number of t, x, y and p. seq follows file and line.
     """
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_path").alias("_file"))
+    # Spark puts files into partitions by size, so the scan's own numbers follow path and place within a block only
+    blocks = lines.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b")).agg(F.count("*").alias("_n"), F.min("seq").alias("_least"))
+    firsts = blocks.selectExpr("_f", "_b", "_least", "coalesce(sum(_n) over (order by _f, _b rows between unbounded preceding and 1 preceding), 0) as _first")  # a row for each block of a file
+    lines = lines.join(F.broadcast(firsts), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    lines = lines.select("value", (F.col("_first") + F.col("seq") - F.col("_least")).alias("seq"), "_block", "_file")
     if header_lines:
         ranked = lines.where("_block = 0").groupBy("_file").agg(F.min("seq").alias("_low"))
         lines = lines.join(F.broadcast(ranked), "_file", "left").where(~(F.coalesce(F.col("seq") - F.col("_low"), F.lit(header_lines)) < header_lines) | (F.col("_block") > 0))
@@ -46,7 +51,11 @@ def read_text(spark: SparkSession, path: str, *, strict: bool = False, delimiter
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Events of packed records; bytes after the last whole record are ignored."""
+    """Events of packed records; bytes after the last whole record are ignored.
+
+    seq follows path and place, from the sizes of the files. A file is read by one task
+    and held there whole, so it is to be below 2 GB; larger streams are several files.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def unpack(batches):
@@ -61,7 +70,10 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([where] * len(r)), pa.array(np.arange(at, at + len(r))), pa.array(r["t"].copy()), *(pa.array(r[c].astype(np.int32)) for c in "xyp")], names=["path", "at", "t", "x", "y", "p"])
 
     rows = files.mapInArrow(unpack, "path string, at long, t double, x int, y int, p int")
-    return numbered(rows, "path", "at").select("seq", "t", "x", "y", "p")
+    sizes = spark.read.format("binaryFile").load(path).select(F.col("path").alias("_of"), F.floor(F.col("length") / RECORD.itemsize).alias("_n"))
+    firsts = sizes.selectExpr("_of", "coalesce(sum(_n) over (order by _of rows between unbounded preceding and 1 preceding), 0) as _first")  # a row for each file
+    numbers = rows.join(F.broadcast(firsts), F.col("path") == F.col("_of"))
+    return numbers.select((F.col("_first") + F.col("at")).cast("long").alias("seq"), "t", "x", "y", "p")
 
 
 def read_parquet(spark: SparkSession, path: str, t_start: float | None = None, t_end: float | None = None) -> DataFrame:
@@ -86,7 +98,7 @@ def read_hdf5(spark: SparkSession, path: str, dataset: str = "events") -> DataFr
             return from_arrays(spark, *(node[c][:] for c in "xytp"))
         where = node if node is not None else f
         for t, x, y, p in HDF5_NAMES:
-            if t in where:
+            if all(c in where for c in (t, x, y, p)):
                 return from_arrays(spark, *(where[c][:] for c in (x, y, t, p)))
     raise ValueError(f"no events in {path}")
 

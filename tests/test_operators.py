@@ -172,3 +172,91 @@ def test_streaming(spark, four, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n_events for r in spark.sql("select * from counts").collect()) == [1, 1, 2]
+
+
+@pytest.mark.parametrize("adaptive, parts", [("true", "8"), ("true", "200"), ("false", "200")])
+def test_numbers_of_many_rows(spark, tmp_path, adaptive, parts):
+    """All columns are written: a count alone may read a plan that was pruned."""
+    from glint.schema import numbered
+
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        i = F.col("id")
+        # a third of the rows have one time; x tells rows apart
+        e = spark.range(100_000).select(i.alias("seq"), F.when(i % 3 == 0, 7.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(40_000)) / 1000).alias("t"), (i % 60_000).cast("int").alias("x"), F.lit(1).alias("y"), F.lit(1).alias("p"))
+        wanted = e.toPandas().sort_values(["t", "seq"])
+        for k, made in enumerate((core.sort_by_time(e), core.merge(e.where("x % 2 = 0"), e.where("x % 2 = 1")), numbered(e.withColumn("_seq", F.col("seq")).drop("seq"), "_seq"))):
+            made.write.parquet(str(tmp_path / str(k)))
+            got = spark.read.parquet(str(tmp_path / str(k))).toPandas().sort_values("seq")
+            assert (got["seq"].to_numpy() == np.arange(100_000)).all()
+            if k == 0:
+                assert (got["t"].to_numpy() == wanted["t"].to_numpy()).all() and (got["x"].to_numpy() == wanted["x"].to_numpy()).all()
+            if k == 1:
+                assert (np.diff(got["t"]) >= 0).all() and (np.diff((got["x"] % 2).to_numpy()[got["t"] == 7.0]) >= 0).all()
+            if k == 2:
+                assert (got["_seq"].to_numpy() == np.arange(100_000)).all()
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+
+
+def test_exact_draws_from_many_rows(spark):
+    e = spark.range(50_000).select(F.col("id").alias("seq"), (F.col("id") / 10).alias("t"), F.lit(1).alias("x"), F.lit(1).alias("y"), F.lit(1).alias("p"))
+    for k in (0, 1, 9_999, 25_000, 49_999, 50_000, 60_000):
+        assert augment.remove_random(e, k, seed=1).count() == max(0, 50_000 - k)
+    less, more = ({r.seq for r in augment.remove_random(e, k, seed=1).collect()} for k in (30_000, 20_000))
+    assert less < more
+
+
+def test_colour_maps(spark):
+    """Expected values worked out from 1.5 - |2v - 1|, 1.5 - |2v - 0.5|, 1.5 - |2v|, cut to 0..1."""
+    image = spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.25), (0, 2, 0.5), (0, 3, 1.0)], "y int, x int, value double")
+    assert {r.x: (r.r, r.g, r.b) for r in render.colour_map(image, "jet").collect()} == {0: (127, 255, 255), 1: (255, 255, 255), 2: (255, 255, 127), 3: (127, 0, 0)}
+    assert {r.x: (r.r, r.g, r.b) for r in render.colour_map(image).collect()} == {0: (0, 0, 0), 1: (63, 63, 63), 2: (127, 127, 127), 3: (255, 255, 255)}
+    three = spark.createDataFrame([(c, 0, x, float(10 * c + x)) for c in range(3) for x in range(2)], "channel int, y int, x int, value double")
+    assert {r.x: (r.r, r.g, r.b) for r in render.rgb_image(three).collect()} == {0: (0, 121, 242), 1: (12, 133, 255)}
+
+
+def test_arrows(spark):
+    one = lambda vx, vy: render.flow_image(spark.createDataFrame([(0, 0, vx, vy)], "row int, col int, vx double, vy double"), width=20, height=20, grid=20)
+    marked = lambda picture: {(int(y), int(x)) for y, x in zip(*(picture != 255).any(axis=2).nonzero(), strict=True)}
+    right = one(3.0, 0.0)
+    assert {(10, x) for x in range(10, 19)} <= marked(right) and (14, 14) in marked(right) and (6, 14) in marked(right)
+    assert all(tuple(right[y, x]) == (0, 0, 255) for y, x in marked(right))
+    assert not marked(one(0.0, 0.0)) and not marked(one(9e-6, 0.0))
+
+
+def test_overlay_by_hand(spark):
+    for alpha in (0.5, 0.3):
+        rng = np.random.default_rng(1)
+        ps = rng.choice([-1, 1], 40).tolist()
+        e = make(spark, [1] * len(ps), [1] * len(ps), np.arange(len(ps)) / 10, ps)
+        frame = spark.createDataFrame([(1, 1, 100, 200, 7)], "y int, x int, r int, g int, b int")
+        want = [100, 200, 7]
+        for p in ps:
+            want = [math.floor(old * (1 - alpha) + new * alpha) for old, new in zip(want, (255.0 if p > 0 else 0.0, 0.0, 0.0 if p > 0 else 255.0), strict=True)]
+        r = render.overlay_events(e, frame, width=4, height=4, alpha=alpha).first()
+        assert [r.r, r.g, r.b] == want
+
+
+def test_text_order_over_files(spark, tmp_path):
+    """Later files are longer, so that the scan takes them first."""
+    for k, n in enumerate((3, 40, 500)):
+        (tmp_path / f"part-{k}.txt").write_text("".join(f"{k}.{i:04d} {k} {i} 1\n" for i in range(n)))
+    rows = readers.read_text(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r.x, r.y) for r in rows] == [(k, i) for k, n in enumerate((3, 40, 500)) for i in range(n)] and [r.seq for r in rows] == list(range(543))
+    for k, n in enumerate((3, 40)):
+        writers.write_binary(make(spark, [k] * n, range(n), np.arange(n) / 10, [1] * n), str(tmp_path / f"{k}.bin"))
+    rows = readers.read_binary(spark, f"{tmp_path}/*.bin").orderBy("seq").collect()
+    assert [(r.seq, r.x, r.y) for r in rows] == [(3 * k + i, k, i) for k, n in enumerate((3, 40)) for i in range(n)]
+
+
+def test_exact_edges(spark):
+    e = make(spark, [1] * 6, [1] * 6, [0.5, 0.4, 0.6, 0.7, 1.4000000000000001, 1.5], [1] * 6)
+    edges = [0.5]
+    while edges[-1] <= 1.5:
+        edges.append(edges[-1] + 0.1)
+    want = {t: next(i for i in range(len(edges) - 1) if edges[i] <= t < edges[i + 1]) for t in (0.5, 0.6, 0.7, 1.4000000000000001, 1.5)}
+    assert {r.t: r.w for r in windows.tumbling_exact(e, 0.1).collect()} == want
