@@ -196,15 +196,22 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOC
 
 @dataclass
 class Model:
+    """Word vectors and the network; without a network nothing was learned."""
+
     vectors: np.ndarray
-    network: Network
+    network: Network | None
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return self.network.score(x) if self.network else np.full(len(x), 0.5)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Vectors of all texts of docs, and a network of at most `sample` labelled rows.
 
     labels has doc_id and quality; rows with a null in either, or whose document isn't in
-    docs, are left out. Repeated labels count as often as they occur.
+    docs, are left out. Repeated labels and repeated documents count as often as they
+    occur, up to the sample. Without a labelled document the model has no network: it
+    scores every text 0.5, predicts 0 and rejects nothing.
     """
     vectors = word_vectors(context_sums(docs))
     spark = docs.sparkSession
@@ -217,9 +224,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         codes = WordCodes()
         yield from batched(((d, q, features(codes.of(t), shared.value).tobytes()) for d, t, q in rows_of(batches, "doc_id", "text", "quality")), schema)
 
-    seen = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").collect()
+    made = rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary")
+    # a repeated id may have many rows, so the sample is cut once more
+    seen = made.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(sample).collect()
     if not seen:
-        raise ValueError("no labelled document to learn from")
+        return Model(vectors, None)
     seen.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.quality, r.x))
     return Model(vectors, train(np.array([np.frombuffer(r.x, np.float32) for r in seen]), np.array([r.quality for r in seen])))
 
@@ -237,7 +246,7 @@ def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
 
         def each():
             for doc_id, text in rows_of(batches, "doc_id", "text"):
-                s = float(model.network.score(features(codes.of(text), model.vectors)[None, :].astype(np.float64))[0])
+                s = float(model.score(features(codes.of(text), model.vectors)[None, :].astype(np.float64))[0])
                 yield doc_id, s, int(s >= accept)
 
         yield from batched(each(), schema)
@@ -246,7 +255,13 @@ def score(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
-    """The rows of docs that the model accepts, with all their columns."""
+    """The rows of docs that the model accepts, with all their columns, whatever their names.
+
+    Null and empty texts are judged as texts without words; repeated rows and null ids are
+    rows like others. A model without a network accepts all. No rows give no rows.
+    """
+    if not model.network:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -255,6 +270,6 @@ def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame
         for batch in batches:
             x = [features(codes.of(t or ""), model.vectors) for t in batch.column(place).to_pylist()]
             if x:
-                yield batch.filter(pa.array(model.network.score(np.array(x, np.float64)) >= accept))
+                yield batch.filter(pa.array(model.score(np.array(x, np.float64)) >= accept))
 
     return docs.mapInArrow(run, docs.schema)
