@@ -62,6 +62,8 @@ class Model:
 
     def predict(self, text: str) -> tuple[str, float, bool]:
         """Language, calibrated probability and whether it is accepted."""
+        if not self.langs:
+            return "und", 0.0, False
         rows = subwords(text, len(self.table))
         mean = np.bincount(rows, minlength=len(self.table)).astype(np.float32) @ self.table if len(rows) > 4096 else self.table[rows].sum(axis=0)
         p = _softmax((mean / max(1, len(rows)) + self.bias) / self.temperature)
@@ -112,7 +114,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from columns doc_id, text and lang; rows with a null in any, or an empty text or lang, are left out.
 
     The ids of the sample are chosen first and broadcast, so texts never reach the driver:
-    it gets the shares of at most `sample` documents, and of a repeated id's rows all.
+    it gets the shares of at most `sample` rows. Without a row to learn from the model
+    knows no language and takes every text for `und`.
     """
     rows = labelled.where("doc_id is not null and text is not null and lang is not null and lang <> '' and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     chosen = rows.select(F.col("doc_id").alias("chosen")).orderBy(F.xxhash64("chosen"), "chosen").limit(sample).distinct()
@@ -127,9 +130,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         yield from batched(each(), schema)
 
     picked = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"))  # at most `sample` numbers
-    seen = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, rows binary, share binary").collect()
+    made = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, rows binary, share binary")
+    # a repeated id may have many rows, so the sample is cut once more
+    seen = made.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "rows").limit(sample).collect()
     if not seen:
-        raise ValueError("no labelled text to learn from")
+        return Model([], np.zeros((1, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
     seen.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, r.rows))
     return train([(np.frombuffer(r.rows, "<i4"), np.frombuffer(r.share, np.float32)) for r in seen], [r.lang for r in seen])
 
@@ -137,8 +142,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (the probability) and accepted (not rejected) for every row.
 
-    A text that is null or has no letter gets `und`, score 0 and is not accepted.
-    Repeated rows and null ids are kept.
+    A text that is null or has no letter, or any text if nothing was learned, gets `und`,
+    score 0 and is not accepted. Repeated rows and null ids are kept; no rows give no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
