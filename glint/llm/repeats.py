@@ -28,11 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MATCH, KMER = 50, 24
-#: Documents in a chunk, and chunks for each group of anchors.
-CHUNK, GROUP = 1000, 2
+#: Documents and characters in a chunk, and chunks for each group of anchors.
+CHUNK, BYTES, GROUP = 1000, 8 << 20, 2
 #: Window starts that are worked on at a time.
 STEP = 1 << 20
 
+#: The rank of rows without an id.
+LAST = (1 << 63) - 1
+
 _A = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 
@@ -75,8 +78,8 @@ class Chunk:
         self.ends = np.cumsum([len(t) for t in self.texts]) if rows else np.zeros(0, np.int64)
         self.starts = np.concatenate(([0], self.ends[:-1])) if rows else self.ends
         self.bytes = b"".join(self.texts)
-        # rows without an id rank after all others, each as a document of its own
-        self.rank = np.array([(1 << 62) + i if d is None else d for i, d in enumerate(self.ids)], np.int64)
+        # rows without an id rank after all others, and alike
+        self.rank = np.array([LAST if d is None else d for d in self.ids], np.int64)
 
     def fragments(self, match: int, kmer: int):
         """(hash, first start, last start, row of the document) of every fragment, as arrays."""
@@ -304,11 +307,12 @@ class _Job:
         if not kmer < match <= 150:
             raise ValueError("a match must be longer than a k-mer and at most 150 bytes")
         self.match, self.kmer = match, kmer
-        self.chunks = max(1, -(-docs.count() // CHUNK))
+        rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        self.chunks = max(1, -(-rows // CHUNK), -(-size // BYTES))
         self.groups = max(1, self.chunks // GROUP)
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        # rows without an id follow their text, so that they too spread out
-        key = F.pmod(F.coalesce(F.xxhash64(F.col("doc_id")), F.lit(0)) + F.when(F.col("doc_id").isNull(), F.xxhash64("text") % 1_000_003).otherwise(0), F.lit(self.chunks)).cast("int")
+        # by id and text, so that the rows of one id, or without any, spread out
+        key = F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.chunks)).cast("int")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *([F.struct(*(F.col(c) for c in rest)).alias("rest")] if rest else []))
         self.docs = texts.withColumn("chunk", key).repartition(min(parts, self.chunks), "chunk")
 
@@ -413,8 +417,8 @@ def removed_repeats(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> Da
 
     A byte goes if a string of `match` bytes covers it that also starts in a document of
     smaller doc_id. Texts are UTF-8 bytes, null texts are empty. Rows of one doc_id are
-    never compared with each other; a row without an id counts as later than all with one.
-    No rows give no rows.
+    never compared with each other; rows without an id count as later than all with one,
+    and aren't compared with each other either. No rows give no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -438,8 +442,9 @@ def nullable(kind: pa.DataType) -> pa.DataType:
 def without_repeats(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> DataFrame:
     """docs with the later repeats cut out of `text`, and n_chars counted anew where it exists.
 
-    All rows and columns stay. Where a cut parts a character, its remaining bytes go too.
-    A null text becomes an empty one.
+    All rows and columns stay, whatever the columns' names. Where a cut parts a character,
+    its remaining bytes go too. A null text becomes an empty one. Rows of one doc_id, and
+    rows without any, lose nothing to each other. No rows give no rows.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
@@ -457,7 +462,8 @@ def repeat_groups(docs: DataFrame, match: int = MATCH, kmer: int = KMER) -> Data
     """Every maximal repeat of a fragment: passage (bytes), n_occurrences and occurrences (doc_id, start).
 
     A repeat is maximal within the windows of one anchor; longer passages are chains of
-    such groups. Starts count bytes.
+    such groups. Starts count bytes. Null and empty texts have none, and no rows give no
+    rows; rows of one doc_id, and those without any, count as one document.
     """
     job = _Job(docs, match, kmer)
     schema = pa.schema([("chunk", pa.int32()), ("passage", pa.binary()), ("n_occurrences", pa.int64()), ("places", pa.list_(pa.int64())), ("chunks", pa.list_(pa.int32()))])

@@ -61,6 +61,34 @@ def test_repeats(docs, none, rows):
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
+def test_repeats_without_ids(spark, monkeypatch):
+    """Rows without an id lose what documents with one have, and nothing to each other, however they are dealt."""
+    a, b = prose(11, 30), prose(12, 30)
+    table = spark.createDataFrame([(None, a), (None, a), (None, b), (5, a), (5, a + b), (9, b)], "doc_id long, text string")
+    results = []
+    for chunk in (1, 2, 1000):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        results.append(sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in repeats.removed_repeats(table).collect()))
+    n, m = len(a.encode()), len(b.encode())
+    assert results == [sorted([(0, n, n), (0, n, n), (0, m, m), (5, n, 0), (5, n + m, 0), (9, m, m)])] * 3
+
+
+def test_repeats_of_a_hot_passage(spark, monkeypatch):
+    """A third of the documents share a passage, another third are copies, over many chunks."""
+    monkeypatch.setattr(repeats, "CHUNK", 20)
+    hot, copy = prose(21, 40), prose(22, 50)
+    texts = [prose(100 + i, 8) + hot + prose(900 + i, 8) if i % 3 == 0 else copy if i % 3 == 1 else prose(300 + i, 40) for i in range(240)]
+    seen, want = {}, {}
+    for d, t in enumerate(texts):
+        for i in range(len(t.encode()) - 49):
+            seen.setdefault(t.encode()[i : i + 50], d)
+    for d, t in enumerate(texts):
+        raw = t.encode()
+        want[d] = len({j for i in range(len(raw) - 49) if seen[raw[i : i + 50]] < d for j in range(i, i + 50)})
+    got = {r.doc_id: r.n_removed for r in repeats.removed_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want and sum(want.values()) > 10_000
+
+
 def test_repeat_groups(spark):
     a, b = prose(5, 40), prose(6, 40)
     d = spark.createDataFrame([(1, a + b), (2, "zz" + a), (3, a[3:])], "doc_id long, text string")
@@ -231,6 +259,24 @@ def test_quality(spark, docs, none):
     scores = quality.score(docs, model).collect()
     assert len(scores) == docs.count() and all(0 <= r.score <= 1 for r in scores) and quality.score(none, model).count() == 0
     assert quality.accepted(docs, model).columns == docs.columns
+    assert quality.accepted(docs.withColumn("score", F.lit(1)).withColumn("quality", F.lit(2)), model).columns[-2:] == ["score", "quality"]
+
+
+def test_nothing_to_learn_from(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    model = quality.fit(none, labels)
+    assert quality.score(none, model).count() == 0 and quality.accepted(none, model).count() == 0
+    model = quality.fit(docs, labels)
+    assert {(r.score, r.predicted) for r in quality.score(docs, model).collect()} == {(0.5, 0)} and quality.accepted(docs, model).count() == docs.count()
+    model = language.fit(none)
+    assert language.identify(none, model).count() == 0 and {r.lang_pred for r in language.identify(docs, model).collect()} == {"und"}
+
+
+def test_samples_stay_bounded_for_repeated_ids(spark):
+    rows = spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("the word "), "id").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(7, 1)] * 3, "doc_id long, quality int")
+    assert quality.fit(rows, labels, sample=20).network is not None and language.fit(rows, sample=20).langs == ["en"]
+
 
 
 def test_sentencepiece(docs, none, rows):
