@@ -346,6 +346,66 @@ def test_pii(docs, none):
     assert pii.with_surrogates(none, "key").count() == 0
 
 
+def test_names_of_one_person_agree(spark):
+    texts = ["Ms Anna Smith and Ms Anna and Dr Anna Smith. Anna wrote; ANNA SMITH too, but not Annabel.", "John Smith met Mr John Smith, Mr JOHN SMITH and Prof. Smith.", "Mr O'Brien, Mr Jean-Luc Picard, Herr von Neumann, Mrs Maria de la Cruz and г-жа Анна Петрова.", "Anna Smith is not titled here."]
+    out = [r.text for r in pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "key").orderBy("doc_id").collect()]
+    anna, smith = re.match(r"Ms (\w+) (\w+) ", out[0]).groups()
+    john = re.match(r"(\w+) ", out[1])[1]
+    assert out[0] == f"Ms {anna} {smith} and Ms {anna} and Dr {anna} {smith}. {anna} wrote; {anna.upper()} {smith.upper()} too, but not Annabel."
+    assert out[1] == f"{john} {smith} met Mr {john} {smith}, Mr {john.upper()} {smith.upper()} and Prof. {smith}." and out[3] == texts[3]
+    assert anna.endswith("na") and john.endswith("rus") and len({anna, john, smith}) == 3
+    form = re.fullmatch(r"Mr O'(\w+), Mr (\w+)-(\w+) (\w+), Herr (\w+ )?(\w+), Mrs (\w+) de la (\w+) and г-жа ([а-я]+) ([а-я]+)\.", out[2], re.IGNORECASE)
+    assert form and not {"brien", "jean", "luc", "picard", "neumann", "maria", "cruz", "анна", "петрова"} & {x.lower() for x in form.groups() if x}
+
+
+def test_surrogates_by_brute_force(spark):
+    """The planted places change, nothing else does; one value for one entity, none for two, formats kept."""
+    rng = random.Random(8)
+    digit = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = {
+        "email": lambda: f"{rng.choice('abcde')}{rng.choice(['', '.x'])}@host{rng.randint(1, 40)}.{rng.choice(['com', 'org'])}",
+        "card": lambda: rng.choice(["4111 1111 1111 " + digit(4), "3782 822463 1" + digit(4), "3056 930902 " + digit(4), "4" + digit(15)]),
+        "ssn": lambda: f"{digit(3)}-{digit(2)}-{digit(4)}",
+        "phone": lambda: f"({digit(3)}) 555-{digit(4)}",
+        "abroad": lambda: f"+44 20 {digit(4)} {digit(4)}",
+        "ip": lambda: f"10.{rng.randint(0, 255)}.3.{rng.randint(1, 9)}",
+    }
+    norm = {"email": str.lower, "ip": str}
+    planted, rows = {}, []
+    for d in range(120):
+        parts, spots = [], []
+        for k in range(4):
+            parts.append(prose(1000 + 10 * d + k, 6))
+            kind = rng.choice(list(kinds))
+            pool = planted.setdefault(kind, [])
+            value = rng.choice(pool) if pool and rng.random() < 0.4 else kinds[kind]()
+            pool.append(value)
+            spots.append((kind, value))
+            parts.append(value)
+        rows.append((d, " ".join([*parts, "end"]), parts, spots))
+    out = {r.doc_id: r for r in pii.with_surrogates(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), "key").collect()}
+    made = {}
+    for d, text, parts, spots in rows:
+        rest = out[d].text
+        assert out[d].n_entities == 4
+        for i, (kind, value) in enumerate(spots):
+            lead = parts[2 * i] + " "
+            assert rest.startswith(lead)
+            rest = rest[len(lead) :]
+            after = " " + (parts[2 * i + 2] + " " if i < 3 else "end")
+            new, rest = rest[: rest.index(after)], rest[rest.index(after) + 1 :]
+            key = norm.get(kind, lambda v: re.sub(r"\D", "", v)[-10:] if kind == "phone" else re.sub(r"\D", "", v))(value)
+            assert made.setdefault((kind, key), []) == [] or made[kind, key][0] == re.sub(r"\D", "", new) or kind in ("email", "ip") and made[kind, key][0] == new
+            made[kind, key] = [new if kind in ("email", "ip") else re.sub(r"\D", "", new)]
+            if kind not in ("email", "ip"):
+                assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", value)
+        assert rest == "end"
+    for kind in kinds:
+        values = [v[0] for (k, _), v in made.items() if k == kind]
+        real = {n for k, n in made if k == kind}
+        assert len(set(values)) == len(values) and not set(values) & real
+
+
 def test_surrogates_stay_distinct(spark):
     norms = spark.range(3000).select(F.lit("ssn").alias("kind"), F.lpad((F.col("id") % 1000).cast("string"), 3, "0").alias("norm")).distinct().where("norm < '300'")
     made = pii.surrogates(norms, "key")
