@@ -16,46 +16,47 @@ from glint.llm.queries import quality_model
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; the rest go."""
+    """Documents that the quality classifier accepts; the rest go. Without labels all stay."""
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id.
+    """One row of each group of near-duplicates: that of the smallest id, and of the smallest text hash.
 
     Near-duplicates are texts whose sets of 5-word shingles have a Jaccard similarity of
-    0.8 at least, exactly, and what such texts link.
-    Of repeated rows of that id one stays, that of the smallest text hash; rows without an
-    id stay if there is a group that has none. Repeated ids are put together before the
-    texts are dealt by id, and the join uses that dealing: texts are sent once, and at
-    every size in the same way.
+    0.8 at least, exactly, and what such texts link. Rows without an id come last, null
+    texts count as empty. Repeated rows are put together before the texts are dealt by id
+    and text hash, and the join uses that dealing: texts are sent once, and at every size
+    in the same way. Other columns may have any name; no rows give no rows.
     """
+    key = (F.col("doc_id").isNull().alias("nameless"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"))
     marked = materialize(nearcopies.near_copies(docs), "near")
-    kept = marked.groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
+    kept = marked.groupBy("root").agg(F.min(F.struct(*key, "mark")).alias("kept")).select(*(F.col("kept")[c].alias(f"kept_{c}") for c in ("nameless", "id", "mark")))
     kept = materialize(kept, "kept")
     # the row travels as one struct, so that none of its columns can clash with other names
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
-    each = rows.where("id is not null").groupBy("id").agg(F.min_by("row", "mark").alias("row"))
-    # kept ids are distinct; a semi join would be moved below the aggregate, and repeated rows be sent
-    out = each.join(kept.hint("merge"), F.col("id") == F.col("kept_id")).select("row.*")
-    if kept.where("kept_id is null").count():
-        out = out.unionAll(rows.where("id is null").select("row.*"))
-    return out
+    rows = docs.select(*key, nearcopies.text_mark().alias("mark"), F.struct("*").alias("row"))
+    each = rows.groupBy("nameless", "id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    # kept rows are distinct; a semi join would be moved below the aggregate, and repeated rows be sent
+    same = [F.col(c) == F.col(f"kept_{c}") for c in ("nameless", "id", "mark")]
+    return each.join(kept.hint("merge"), same).select("row.*")
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that start in an earlier one."""
+    """All documents, without the passages that start in an earlier one. A null text becomes empty."""
     return repeats.without_repeats(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced."""
+    """All documents, with secrets replaced. A null text stays null, and empty ones empty."""
     return secrets.redacted(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences: every piece of every document with its ids and place."""
+    """The training sequences: every piece of every document with its ids and place.
+
+    Null and empty texts are one piece of one id; no documents give no rows.
+    """
     return packing.packed_sequences(docs)
 
 
@@ -72,6 +73,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of `documents`. A table that the next stage has read is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
