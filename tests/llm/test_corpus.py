@@ -464,7 +464,7 @@ def test_columns_of_any_name_stay(spark):
     docs = spark.createDataFrame([(1, text), (2, text), (3, None), (4, ""), (None, "token=abcdefgh12345 a.b@shop.com")], "doc_id long, text string")
     for name in "news own_id own_t _id _t t k v kept_id kept_rows id row rest cut chunk fp kind norm".split():
         docs = docs.withColumn(name, F.lit(f"own {name}"))
-    for made, rows in ((pii.with_surrogates(docs, "key").drop("n_entities"), 5), (corpus_pipeline.near_duplicate_stage(spark, docs, ""), 3), (repeats.without_repeats(docs), 5), (secrets.redacted(docs), 5)):
+    for made, rows in ((pii.with_surrogates(docs, "key").drop("n_entities"), 5), (corpus_pipeline.near_duplicate_stage(spark, docs.unionAll(docs), ""), 3), (corpus_pipeline.near_duplicate_stage(spark, docs, ""), 3), (repeats.without_repeats(docs), 5), (secrets.redacted(docs), 5)):
         found = made.collect()
         assert made.columns == docs.columns and len(found) == rows
         assert all(r[c] == f"own {c}" for r in found for c in docs.columns[2:])
@@ -503,3 +503,14 @@ def test_bucket_pairs_by_brute_force():
     got = {tuple(p) for p in nearcopies.bucket_pairs(*(np.array(c) for c in zip(*rows, strict=True))).tolist()}
     want = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and nearcopies.alike(sets[i], sets[j])}
     assert want and want <= got
+
+
+def test_pipeline_keeps_other_texts_of_an_id(spark):
+    """One id with two texts, one of which copies another row's; rows without an id that are copies."""
+    import corpus_pipeline
+
+    a, b, c = (prose(500 + i, 60) for i in range(3))
+    table = spark.createDataFrame([(1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (3, ""), (4, None)], "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, table, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (2, b), (0, c), (3, "")])
+    assert corpus_pipeline.near_duplicate_stage(spark, table.limit(0), "").count() == 0
