@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -126,7 +128,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans; an entropy span within a base span adds nothing and is left out."""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    starts = [s for s, _, _ in base]
+    ends = list(accumulate((e for _, _, e in base), max, initial=-1))  # the farthest end of the first so many
+    more = [(a, 3, b) for a, b in entropy_spans(text) if ends[bisect_right(starts, a)] < b]
     return base, sorted(base + more)
 
 
