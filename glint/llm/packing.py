@@ -1,9 +1,9 @@
 """Best-fit packing of tokenized documents by exact complements.
 
 Only the histogram of piece lengths - at most `room` numbers - decides what goes
-together. The plan takes the longest length left, then looks for one, two or three
-lengths (indexed by their sums) that fill the gap exactly and are still available, as
-often as their counts allow; if there are none, the best-fitting length goes in and the
+together. The plan takes the longest length left, then looks in the indexes of sums for
+one, two or three lengths that fill the gap exactly and are still available, as often as
+their counts allow; if there are none, the best-fitting length goes in and the
 smaller gap is tried again. Pieces are then numbered within their length, and a number
 stands for a place in the plan.
 """
@@ -90,57 +90,81 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def pieces(docs: DataFrame, room: int = ROOM, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids of every row's pieces of at most `room` ids.
+    """doc_id, piece, start, length, ids_crc32, ids and salt of every row's pieces of at most `room` ids.
 
-    A document is its text's ids and END. Null and empty texts are END alone.
+    A document is its text's ids and END. Null and empty texts are END alone. The salt
+    numbers a task's rows, so that pieces of one id can be dealt apart.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("salt", pa.int32())])
 
     def run(batches):
         words = WordIds(path or tokenizer_path())
 
         def each():
-            for doc_id, text in rows_of(batches, "doc_id", "text"):
+            for salt, (doc_id, text) in enumerate(rows_of(batches, "doc_id", "text")):
                 ids = words.of(text) + END.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * room)):
                     part = ids[at : at + 4 * room]
-                    yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part
+                    yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part, salt & 0xFFFF
 
         yield from batched(each(), schema)
 
-    return id_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return id_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, salt int")
 
 
 class Complements:
-    """Finds one, two or three available lengths with a given sum."""
+    """Indexes of the available lengths by the sums of one, two and three of them.
+
+    For each sum that is asked for, the pairs of lengths with that sum are listed once, the
+    larger length falling; for triples the first lengths are, each with the pairs of the rest.
+    What is used up never comes back, so each list has a place that only moves on.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts
+        self.there = counts > 0
+        self.lengths = np.flatnonzero(counts)[::-1].tolist()
+        self.pairs: dict[int, list] = {}
+        self.firsts: dict[int, int] = {}
 
     def _pair(self, total: int, less: int = 0) -> tuple[int, int] | None:
-        """The pair with that sum whose larger length is largest; `less` is taken already."""
+        """The available pair with that sum whose larger length is largest; one of `less` is taken already."""
         left = self.left
         if total < 2:
             return None
-        high = np.arange(total - 1, (total - 1) // 2, -1)
-        high = high[high < len(left)]
-        low = total - high
-        there = (left[high] > (high == less)) & (left[low] > (low == less))
-        there &= (high != low) | (left[high] > 1 + (high == less))
-        hit = np.flatnonzero(there)
-        return (int(high[hit[0]]), int(low[hit[0]])) if len(hit) else None
+        if total not in self.pairs:
+            high = np.arange(min(total - 1, len(left) - 1), (total - 1) // 2, -1)
+            high = high[self.there[high] & self.there[total - high]]
+            self.pairs[total] = [0, high.tolist()]
+        entry = self.pairs[total]
+        listed = entry[1]
+        while entry[0] < len(listed) and not self._has(listed[entry[0]], total - listed[entry[0]], 0):
+            entry[0] += 1
+        for high in listed[entry[0] :]:
+            if self._has(high, total - high, less):
+                return high, total - high
+        return None
+
+    def _has(self, high: int, low: int, less: int) -> bool:
+        if high == low:
+            return self.left[high] > 1 + (high == less)
+        return self.left[high] > (high == less) and self.left[low] > (low == less)
 
     def exact(self, gap: int) -> tuple[int, ...] | None:
         if gap < len(self.left) and self.left[gap]:
             return (gap,)
         if pair := self._pair(gap):
             return pair
-        for first in np.flatnonzero(self.left[: gap - 1])[::-1].tolist():
-            if 3 * first < gap:
+        at = self.firsts.get(gap, 0)
+        found = None
+        while at < len(self.lengths) and 3 * self.lengths[at] >= gap:
+            first = self.lengths[at]
+            if first <= gap - 2 and self.left[first] and (pair := self._pair(gap - first, first)) and pair[0] <= first:
+                found = first, *pair
                 break
-            if (pair := self._pair(gap - first, first)) and pair[0] <= first:
-                return first, *pair
-        return None
+            at += 1
+        self.firsts[gap] = at
+        return found
 
 
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[int, tuple[int, ...]]]:
@@ -194,19 +218,19 @@ def pack(made: DataFrame, room: int = ROOM) -> DataFrame:
     """Adds sequence_id and offset to a materialized table of pieces.
 
     Pieces are numbered within their length by a count for each (bucket, length) - the
-    buckets are hashes of doc_id, more of them the more rows there are - and their place
-    in the bucket. Equal pieces of repeated rows are told apart by their place only.
+    buckets are hashes of doc_id and salt, more of them the more rows there are - and their
+    place in the bucket. Equal pieces of repeated rows are told apart by their place only.
     """
     spark = made.sparkSession
     histogram = {r.length: r["count"] for r in made.groupBy("length").count().collect()}
     places = slots(plan(histogram, room))
     buckets = max(1, -(-sum(histogram.values()) // 20_000))
-    keyed = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    keyed = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(buckets)).cast("int")).drop("salt")
     sums = keyed.groupBy("bucket", "length").count()
     first = sums.selectExpr("bucket", "length as kind", "sum(count) over (partition by length order by bucket rows between unbounded preceding and 1 preceding) as before")
     first = first.groupBy("bucket").agg(F.collect_list(F.struct("kind", F.coalesce("before", F.lit(0)).alias("before"))).alias("firsts"))
     schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")])
-    rest = [c for c in made.columns if c not in schema.names]
+    rest = [c for c in made.columns if c not in (*schema.names, "salt")]
     kinds = {c: made.schema[c].dataType for c in rest}
     from pyspark.sql.pandas.types import to_arrow_type
 
