@@ -189,6 +189,36 @@ def test_plan_uses_each_length_up():
     assert sum(m for m, _ in steps) <= 1.01 * sum(k * v for k, v in counts.items()) / 2048 + 1
 
 
+def test_complements_by_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        counts = np.zeros(41, np.int64)
+        for length in rng.integers(1, 41, 6):
+            counts[length] += 1
+        index = packing.Complements(counts)
+        for gap in rng.integers(1, 41, 6).tolist():
+            pool = [k for k in range(41) for _ in range(counts[k])]
+            least = next((n for n in (1, 2, 3) if any(sum(c) == gap for c in itertools.combinations(pool, n))), None)
+            fill = index.exact(gap)
+            assert (fill is None) == (least is None) and (fill is None or len(fill) == least and sum(fill) == gap)
+            if fill:
+                for length in fill:
+                    counts[length] -= 1
+                assert (counts >= 0).all()
+
+
+def test_packing_of_one_id(spark):
+    """A third of the rows have one id, and all of these one text."""
+    table = spark.range(45_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b c").otherwise(F.concat(F.lit("d "), "id")).alias("text"))
+    out = packing.packed_sequences(table, keep_ids=False)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    places = out.select("sequence_id", "offset", "length").toPandas().sort_values(["sequence_id", "offset"])
+    after = places.groupby("sequence_id")["length"].cumsum()
+    assert len(places) == 45_000 and (after - places["length"] == places["offset"]).all() and after.max() <= 2048
+
+
 def test_order_minhash(docs, none, rows):
     ordered = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     got = sorted(fingerprints.edited_likeness(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.n_chars))
@@ -225,6 +255,64 @@ def test_secrets(docs, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_base_spans_by_brute_force():
+    """Every pattern spelled out as a scan by characters."""
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def run(text, at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    def assign(text, at):
+        lower = "".join(c.lower() if c.isascii() else c for c in text)
+        for name in names:
+            if lower.startswith(name, at):
+                k = at + len(name)
+                k += text[k : k + 1] in ("'", '"') and k < len(text)
+                k = run(text, k, " ")
+                if text[k : k + 1] in (":", "=") and k < len(text):
+                    k = run(text, k + 1, " ")
+                    k += text[k : k + 1] in ("'", '"') and k < len(text)
+                    end = run(text, k, value)
+                    if end > k:
+                        return end, end - k >= 8
+        return None
+
+    def access(text, at):
+        end = run(text, at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (end, end - at >= 16) if text.startswith("AKIA", at) and end > at + 4 else None
+
+    def hexes(text, at):
+        end = run(text, at, set("0123456789abcdef"))
+        return (end, end - at >= 32) if end > at else None
+
+    def spans(text):
+        found = []
+        for kind, match in enumerate((assign, access, hexes)):
+            at = 0
+            while at < len(text):
+                if hit := match(text, at):
+                    found += [(at, kind, hit[0])] if hit[1] else []
+                    at = hit[0]
+                else:
+                    at += 1
+        return sorted(found)
+
+    rng = random.Random(4)
+    bits = [*names, "TOKEN", "Secret", "AKIA", "AKIAAKIA", "'", '"', " ", "  ", ":", "=", "==", "abc123", "deadbeef", "0f" * 9, "é", "ſecret", "K", "X7", "Zz_-./+", "\n", "\t"]
+    hit = 0
+    for _ in range(4000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert secrets.base_spans(text) == spans(text), text
+        hit += bool(spans(text))
+        found = secrets.entropy_spans(text)
+        base = secrets.base_spans(text)
+        assert secrets.scan(text)[1] == sorted(base + [(a, 3, b) for a, b in found if not any(s <= a and b <= e for s, _, e in base)])
+    assert hit > 400
+
+
 def test_secrets_in_pieces_of_a_run():
     rng = random.Random(6)
     for before, chars, n in (("KEY=", "0123456789ABCDEF", 40), ("key/", "0123456789abcdef", 31), ("v1_", "0123456789abcdef", 24), ("/example/config/", "0123456789abcdef", 31), ("id-1234567-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 30), ("n=", "0123456789", 40)):
