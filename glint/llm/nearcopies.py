@@ -12,7 +12,8 @@ the original of many edited copies; then all pairs of a bucket that are still in
 components. So the members of a large group aren't compared with each other. Equal sets
 are one point throughout.
 
-A candidate pair is first looked at with sketches, 16 bits of every shingle hash:
+In the third round 64-byte tallies rule out most pairs where they are found. A candidate
+pair is first looked at with sketches, 16 bits of every shingle hash:
 sketches never differ in more places than the sets, so what they rule out is ruled out.
 Of the others each component has its best pair confirmed with the sets themselves, and
 again; those that still part components are then confirmed one and all.
@@ -70,6 +71,14 @@ def sketched_difference(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
 
 
+def tally(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each value of their last six bits, 255 at most: 64 bytes.
+
+    Tallies of two sets differ, added up, by no more than the sets do.
+    """
+    return np.minimum(np.bincount(hashes & 63, minlength=64), 255).astype(np.uint8)
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order (count, hash), one of which any set alike shares."""
     weight = np.zeros(len(hashes), np.int64)
@@ -105,7 +114,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _keys(docs: DataFrame) -> DataFrame:
     common, counts = _common(docs)
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("sid", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64())), ("sketch", pa.binary()), ("tally", pa.binary())])
 
     def run(batches):
         seen: set[int] = set()  # a task tells each set once, so a group of copies costs a row for each task
@@ -116,11 +125,11 @@ def _keys(docs: DataFrame) -> DataFrame:
                 sid = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
                 new = sid not in seen
                 seen.add(sid)
-                yield doc_id, mark, sid, set_fingerprint(found), len(found), prefix(found, common, counts) if new else [], sketch(found).tobytes() if new else None
+                yield doc_id, mark, sid, set_fingerprint(found), len(found), prefix(found, common, counts) if new else [], sketch(found).tobytes() if new else None, tally(found).tobytes() if new else None
 
         yield from batched(each(), schema, weight=lambda row: len(row[5]), most=1 << 21)
 
-    return id_text(docs).withColumn("mark", text_mark()).mapInArrow(run, "doc_id long, mark long, sid long, fp long, n int, prefix array<long>, sketch binary")
+    return id_text(docs).withColumn("mark", text_mark()).mapInArrow(run, "doc_id long, mark long, sid long, fp long, n int, prefix array<long>, sketch binary, tally binary")
 
 
 _BUCKET = "part int, token long, sid long, n int, pos int"
@@ -207,15 +216,18 @@ def _mixed(key, table):
 
 
 def _apart(key, table):
-    """The pairs of different roots that sketches don't rule out."""
+    """The pairs of different roots that tallies don't rule out."""
     sid = table.column("sid").to_numpy()
     pairs = bucket_pairs(*(table.column(c).to_numpy() for c in ("token", "sid", "n", "pos", "root")))
     ids, first = np.unique(sid, return_index=True)
-    marks = [np.frombuffer(table.column("sketch")[i].as_buffer(), np.uint16) for i in first.tolist()]
+    tallies = np.frombuffer(b"".join(table.column("tally")[i].as_py() for i in first.tolist()), np.uint8).reshape(-1, 64).astype(np.int16)
     n = table.column("n").to_numpy()[first].astype(np.int64)
-    a, b = np.searchsorted(ids, pairs[:, 0]), np.searchsorted(ids, pairs[:, 1])
-    keep = [9 * sketched_difference(marks[i], marks[j]) <= n[i] + n[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    return _pairs_of(pairs[np.array(keep, bool)])
+    kept = [pairs[:0]]
+    for at in range(0, len(pairs), 1 << 16):
+        part = pairs[at : at + (1 << 16)]
+        a, b = np.searchsorted(ids, part[:, 0]), np.searchsorted(ids, part[:, 1])
+        kept.append(part[9 * np.abs(tallies[a] - tallies[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]])
+    return _pairs_of(np.concatenate(kept))
 
 
 def _hubs(key, table):
@@ -342,9 +354,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ranked = placed().join(partners, F.col("sid") == F.col("end"), "left").select("part", "token", "sid", "n", "root", F.coalesce("degree", F.lit(0)).alias("degree"))
     second = materialize(ranked.groupBy("part").applyInArrow(_hubs, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     job.link(second)
-    # only buckets of several roots get the sketches, and only pairs that these let pass leave the task
+    # only buckets of several roots get the tallies, and only pairs that these let pass leave the task
     mixed = materialize(placed().groupBy("part").applyInArrow(_mixed, f"{_BUCKET}, root long"), "mixed")
-    told = keys.where("sketch is not null").select(F.col("sid").alias("of"), "sketch").join(mixed.select("sid").distinct(), F.col("of") == F.col("sid")).select("of", "sketch").dropDuplicates(["of"])
+    told = keys.where("tally is not null").select(F.col("sid").alias("of"), "tally").dropDuplicates(["of"])
     marked = mixed.join(told, F.col("sid") == F.col("of")).drop("of")
     third = materialize(marked.groupBy("part").applyInArrow(_apart, "a long, b long").distinct().join(first.unionAll(second), ["a", "b"], "left_anti"), "pairs")
     job.link(third)

@@ -580,6 +580,24 @@ def test_pipeline_drops_edited_copies(spark):
     assert kept == set(group.values()) and 1 not in kept and 2 not in kept and 1001 not in kept and 1002 in kept
 
 
+def test_sketches_and_tallies_rule_out_no_alike_sets():
+    from glint.llm import nearcopies
+
+    rng = np.random.default_rng(9)
+    ruled = 0
+    for _ in range(2000):
+        n = int(rng.integers(1, 300))
+        a = np.unique(rng.integers(-(2**63), 2**63, n))
+        keep = rng.random(len(a)) < rng.choice([0.7, 0.8, 0.9, 0.95])
+        b = np.unique(np.concatenate((a[keep], rng.integers(-(2**63), 2**63, int(rng.integers(0, 1 + n // 6))))))
+        differ = len(np.setxor1d(a, b))
+        for off in (nearcopies.sketched_difference(nearcopies.sketch(a), nearcopies.sketch(b)), int(np.abs(nearcopies.tally(a).astype(int) - nearcopies.tally(b)).sum())):
+            assert off <= differ
+            ruled += 9 * off > len(a) + len(b)
+        assert nearcopies.alike(a, b) == (9 * differ <= len(a) + len(b))
+    assert ruled > 500
+
+
 def test_bucket_pairs_by_brute_force():
     from glint.llm import nearcopies
 
