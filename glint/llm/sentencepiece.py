@@ -1,9 +1,16 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 White space becomes the sign U+2581, which begins words; pieces never go across one that
-begins. Each distinct word is encoded once: its substrings of bounded length are exploded
-and equi-joined to the piece table (broadcast: a vocabulary is a fixed number of rows);
-the edges are grouped by word and folded with a higher-order aggregate.
+begins. Words are cut once more where no piece has the two characters side by side, so a
+comma isn't part of the word before it. Each distinct word is encoded once: its substrings
+of bounded length are exploded and equi-joined to the piece table (broadcast: a vocabulary
+is a fixed number of rows); the edges are grouped by word and folded with a higher-order
+aggregate.
+
+The texts aren't dealt out for that. Their words are counted where they lie; of all encoded
+words the COMMON most frequent, a bounded table, go to every task and serve most places.
+The ids of a document, two bytes each with a mark at every place of a rarer word, are then
+joined with the encodings of just those words.
 
 For a unigram model the fold is Viterbi's: the best score at each end, and the edge that
 got there. The scores of a BPE model are ranks of merges, and a best path over them isn't
@@ -18,21 +25,27 @@ are found once from the vocabulary, and words that have one are folded step by s
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, materialize
+from .common import batched, id_text, materialize, rows_of
 
 SPACE = "\u2581"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Documents in a chunk that shares a word list.
-CHUNK = 1000
-#: Longer words don't fit the bit mask of a long; they are folded with an array of boundaries.
+#: Encoded words that every task gets, at most; distinct words that a task counts before it sends them.
+COMMON, COUNTED = 200_000, 400_000
+#: Words whose cuts a worker remembers.
+CACHE = 400_000
+#: Longer words don't fit the bit mask of a long; they are folded with a run of bytes.
 MASK = 61
+#: Substring starts of a long word in one row.
+WINDOW = 64
 
 
 @dataclass(frozen=True)
@@ -126,18 +139,34 @@ def _table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([("", -1, 0.0), *pieces.rows], "piece string, id int, score double")
 
 
+def _edges(spans: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
+    """keys and the edges: structs (cost, s, e, id), one for each of the spans (s, e, piece) that is a piece."""
+    table = F.broadcast(_table(spans.sparkSession, pieces))  # the vocabulary: a fixed number of rows
+    edge = F.struct((-F.col("score")).alias("cost"), "s", "e", "id")
+    return spans.join(table, "piece").groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
 def _lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and its edges: structs (cost, s, e, id), one for each substring that is a piece.
+    """words with their edges, for words of any moderate length.
 
     The empty piece at 0 is an edge of every word, so that words without a piece stay.
     """
-    n = F.char_length("word")
-    spans = words.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = spans.select("word", "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("s")))).alias("n"))
-    spans = spans.select("word", "s", (F.col("s") + F.col("n")).alias("e"), F.substr("word", F.col("s") + 1, F.col("n")).alias("piece"))
-    table = F.broadcast(_table(words.sparkSession, pieces))  # the vocabulary: a fixed number of rows
-    edge = F.struct((-F.col("score")).alias("cost"), "s", "e", "id")
-    return spans.join(table, "piece").groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    keys = words.columns
+    spans = words.select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    spans = spans.select(*keys, "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("s")))).alias("n"))
+    spans = spans.select(*keys, "s", (F.col("s") + F.col("n")).alias("e"), F.substr("word", F.col("s") + 1, F.col("n")).alias("piece"))
+    return _edges(spans, pieces, keys)
+
+
+def _long_lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """The same for long words: their substrings travel without them, by a hash of the word."""
+    named = words.withColumn("wid", F.sha2("word", 256))
+    windows = F.transform(F.sequence(F.lit(0), F.char_length("word") - 1, F.lit(WINDOW)), lambda at: F.struct(at.alias("at"), F.substr("word", at + 1, F.lit(WINDOW + pieces.longest)).alias("part")))
+    parts = named.select("wid", F.explode(windows).alias("w")).select("wid", "w.at", "w.part")
+    parts = parts.select("wid", "at", "part", F.explode(F.sequence(F.lit(0), F.least(F.char_length("part"), F.lit(WINDOW)) - 1)).alias("o"))
+    parts = parts.select("wid", "at", "part", "o", F.explode(F.sequence(F.when(F.col("at") + F.col("o") == 0, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("part") - F.col("o")))).alias("n"))
+    spans = parts.select("wid", (F.col("at") + F.col("o")).alias("s"), (F.col("at") + F.col("o") + F.col("n")).alias("e"), F.substr("part", F.col("o") + 1, F.col("n")).alias("piece"))
+    return named.join(_edges(spans, pieces, ["wid"]), "wid").select(*words.columns, "edges")
 
 
 def _bit(at: Column) -> Column:
@@ -202,6 +231,23 @@ def _merges_listed(edges: Column, n: Column, late: Column) -> Column:
     return F.when(late, _once(merges, by_step)).otherwise(F.aggregate(merges, every, once))
 
 
+def _held(held: Column, x: Column) -> Column:
+    """The part of a run of bytes, 1 for a boundary and 0 for none, from an edge's start to its end."""
+    return F.substr(held, x["s"] + 1, x["e"] - x["s"] + 1).cast("string")
+
+
+def _merges_long(edges: Column, n: Column) -> Column:
+    """Boundaries after all merges as a run of bytes; for long words that have no late piece."""
+    merges = F.filter(edges, lambda x: x["e"] - x["s"] > 1)
+
+    def once(held: Column, m: Column) -> Column:
+        part = _held(held, m)
+        fits = (F.left(part, F.lit(1)) == "1") & (F.right(part, F.lit(1)) == "1") & (F.replace(part, F.lit("0")) == "111")
+        return F.when(fits, F.overlay(held, F.repeat(F.lit("0"), m["e"] - m["s"] - 1).cast("binary"), m["s"] + 2)).otherwise(held)
+
+    return F.aggregate(merges, F.repeat(F.lit("1"), n + 1).cast("binary"), once)
+
+
 def _best_path(edges: Column, n: Column, unknown: float) -> Column:
     """Boundaries of the best path; a character without a piece costs `unknown`."""
     start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(0)).alias("path")))
@@ -217,19 +263,27 @@ def _best_path(edges: Column, n: Column, unknown: float) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word and ids for each distinct, non-empty word."""
+    """words and ids for each distinct, non-empty word; a column `times` that goes with it stays.
+
+    A word of any length is one row of its edges, some 40 bytes for each substring that is
+    a piece: a hundred thousand characters take 60 MB at most. A long word with a late
+    piece is folded step by step, in time that grows with the square of its length.
+    """
     n = F.char_length("word")
     edges = F.col("edges")
     late = F.exists(edges, lambda x: x["id"].isin(*pieces.late)) if pieces.late else F.lit(False)
     table = F.array(*(F.lit(i) for i in pieces.byte_ids)) if pieces.byte_ids else None
 
+    def bare(s: Column) -> Column:
+        """The ids of a character without a piece."""
+        if table is None:
+            return F.array(F.lit(pieces.unknown))
+        code = F.hex(F.encode(F.substr(F.col("word"), s + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.get(table, F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+
     def ids(x: Column) -> Column:
         edge = F.get(F.filter(edges, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"])), F.lit(0))
-        if table is None:
-            return F.array(F.coalesce(edge["id"], F.lit(pieces.unknown)))
-        code = F.hex(F.encode(F.substr(F.col("word"), x["s"] + 1, F.lit(1)), "UTF-8"))
-        bare = F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.get(table, F.conv(F.substr(code, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(bare)
+        return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(bare(x["s"]))
 
     def spell(cuts: Column) -> Column:
         spans = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1), lambda k: F.struct(F.get(cuts, k - 1).alias("s"), F.get(cuts, k).alias("e")))
@@ -242,54 +296,175 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         in_order = lambda own: F.transform(F.array_sort(F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["id"].alias("id")))), lambda x: x["id"])
         return _once(own, lambda own: F.when(F.size(own) == F.bit_count(mask) - 1, in_order(own)).otherwise(_once(cuts, spell)))
 
+    def spell_long(held: Column) -> Column:
+        own = F.filter(edges, lambda x: (x["e"] > x["s"]) & (_held(held, x) == F.concat(F.lit("1"), F.repeat(F.lit("0"), x["e"] - x["s"] - 1), F.lit("1"))))
+        known = F.transform(own, lambda x: F.struct(x["s"].alias("s"), F.array(x["id"]).alias("ids")))
+        # what no edge covers is single characters
+        singles = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.substr(held, i + 1, F.lit(2)).cast("string") == "11")
+        others = F.array_except(singles, F.transform(F.filter(own, lambda x: x["e"] - x["s"] == 1), lambda x: x["s"]))
+        return F.flatten(F.transform(F.array_sort(F.concat(known, F.transform(others, lambda s: F.struct(s.alias("s"), bare(s).alias("ids"))))), lambda x: x["ids"]))
+
+    short, long = (words.where(f"char_length(word) {sign} {MASK}") for sign in ("<=", ">"))
     if pieces.bpe:
-        ids_of = F.when(n <= MASK, _once(_merges_masked(edges, n, late), spell_masked)).otherwise(_once(_merges_listed(edges, n, late), spell))
+        brief = _once(_merges_masked(edges, n, late), spell_masked)
+        lengthy = F.when(late, _once(_merges_listed(edges, n, late), spell)).otherwise(_once(_merges_long(edges, n), spell_long))
     else:
-        ids_of = _once(_best_path(edges, n, max(-s for _, _, s in pieces.rows) + 10.0), spell)
-    return _lattice(words, pieces).select("word", ids_of.alias("ids"))
-
+        brief = lengthy = _once(_best_path(edges, n, max(-s for _, _, s in pieces.rows) + 10.0), spell)
+    return _lattice(short, pieces).select(*words.columns, brief.alias("ids")).unionAll(_long_lattice(long, pieces).select(*words.columns, lengthy.alias("ids")))
 
-def _cut(text: str) -> list[str]:
-    """The words of a text: each is a run of space signs and what follows up to the next."""
-    return _WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+def space_block(pieces: Pieces) -> int:
+    """The length of the blocks that a long run of spaces is merged to from the left, 0 if that isn't sure.
 
-def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+    Where all pieces of spaces have one score, merges go from the left, so what is merged
+    first is the first block, whatever follows later. Whether a run of three such blocks
+    begins with the longest piece is tried out. Two blocks are left to the end of a run.
+    """
+    cost = {len(p): -s for p, _, s in pieces.rows if not p.strip(SPACE) and len(p) > 1}
+    if not pieces.bpe or len(set(cost.values())) != 1:
+        return 0
+    block = max(cost)
+    held = list(range(3 * block + 1))
+    while step := next(((i, j) for i in range(len(held) - 2) for j in [i + 2] if held[j] - held[i] in cost), None):
+        del held[step[0] + 1]
+    return block if held[:3] == [0, block, 2 * block] else 0
+
+
+class Cuts(dict):
+    """For each white-space word its parts: it is cut where no piece has the two characters side by side."""
+
+    def __init__(self, pieces: Pieces):
+        self.side = {p[i : i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1)}
+        self.block = space_block(pieces)
+
+    def __missing__(self, word: str) -> list[str]:
+        side, parts, whole = self.side, [], word
+        if self.block and len(word) > 3 * self.block:
+            spaces = len(word) - len(word.lstrip(SPACE))
+            blocks = max(0, spaces // self.block - 2)
+            parts, word = [SPACE * self.block] * blocks, word[self.block * blocks :]
+        at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in side), len(word)]
+        parts += [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        if len(whole) < 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[whole] = parts
+        return parts
+
+    def of(self, text: str) -> list[str]:
+        """The parts of a text in order, none for the empty one."""
+        return list(chain.from_iterable(map(self.__getitem__, _WORD.findall(SPACE + text.replace(" ", SPACE))))) if text else []
+
+
+class Known:
+    """The common words with their ids; as bytes from the driver, as a dictionary in a worker."""
+
+    def __init__(self, table: pa.Table, kind: str):
+        self.table, self.kind, self.ids = table, kind, None
+
+    def __getstate__(self):
+        return self.table, self.kind, None
+
+    def __setstate__(self, state):
+        self.table, self.kind, self.ids = state
+
+    def by_word(self) -> dict[str, bytes]:
+        if self.ids is None:
+            self.ids = {}
+            for batch in self.table.to_batches():
+                self.ids.update(zip(batch.column("word").to_pylist(), packed(batch.column("ids"), self.kind), strict=True))
+        return self.ids
+
+
+def packed(lists: pa.ListArray, kind: str) -> list[bytes]:
+    """Each list of ids as a run of bytes."""
+    raw = lists.values.to_numpy(zero_copy_only=False).astype(kind).tobytes()
+    ends, size = lists.offsets.to_numpy().tolist(), np.dtype(kind).itemsize
+    return [raw[size * i : size * j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
+    """word and times, how often it occurs, for each distinct word of all texts."""
+
+    def run(batches):
+        cuts, held = Cuts(pieces), Counter()
+        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        for (text,) in rows_of(batches, "text"):
+            held.update(cuts.of(text))
+            if len(held) >= COUNTED:
+                yield send()
+                held.clear()
+        if held:
+            yield send()
+
+    return id_text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("times"))
+
+
+def _common(encoded: DataFrame, most: int) -> pa.Table:
+    """word and ids of the most frequent words, at most so many; words of one magnitude go together."""
+    size = F.floor(F.log2("times") * 16).cast("int")
+    counts = sorted(((r.size, r["count"]) for r in encoded.groupBy(size.alias("size")).count().collect()), reverse=True)
+    least, total = None, 0
+    for size_of, n in counts:
+        if total + n > most:
+            break
+        least, total = size_of, total + n
+    return encoded.where(size >= least if least is not None else F.lit(False)).select("word", "ids").toArrow()
+
+
+def encode(docs: DataFrame, pieces: Pieces | None = None, common: int = COMMON) -> DataFrame:
     """doc_id and ids, the encoding of the whole text, for every row.
 
-    Null and empty texts have no ids. Repeated rows and null ids are kept. Documents are
-    dealt into chunks by hash; a chunk asks for each of its distinct words once, so that a
-    word that every document has costs a row for each chunk.
+    Null and empty texts have no ids. Repeated rows and null ids are kept, no rows give no
+    rows. Columns other than doc_id and text are not read. `common` bounds the table that
+    is broadcast and decides the work, not the result.
     """
     pieces = pieces or load_pieces()
-    chunks = max(1, -(-docs.count() // CHUNK))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = id_text(docs).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")).repartition(min(parts, chunks), "chunk")
-
-    def ask(key, table):
-        words = set()
-        for text in table.column("text"):
-            words.update(_cut(text.as_py()))
-        return pa.table({"chunk": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(sorted(words), pa.string())})
-
-    asked = materialize(rows.groupBy("chunk").applyInArrow(ask, "chunk int, word string"), "words")
-    known = materialize(encode_words(asked.select("word").distinct(), pieces).withColumnRenamed("word", "w"), "encoded")
-    told = asked.join(known, F.col("word") == F.col("w")).select("chunk", "word", "ids")
-
-    def answer(key, table, told):
-        # ids stay packed: a chunk's word list is one run of bytes for each word
-        ids = {}
-        for batch in told.to_batches():
-            lists = batch.column("ids")
-            raw = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes()
-            ends = lists.offsets.to_numpy().tolist()
-            ids.update((w, raw[4 * i : 4 * j]) for w, i, j in zip(batch.column("word").to_pylist(), ends[:-1], ends[1:], strict=True))
-        made = [b"".join([ids[w] for w in _cut(t.as_py())]) for t in table.column("text")]
-        ends = np.cumsum([0] + [len(m) // 4 for m in made]).astype(np.int32)
-        flat = pa.array(np.frombuffer(b"".join(made), "<i4"))
-        return pa.table({"doc_id": table.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(ends), flat)})
-
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(answer, "doc_id long, ids array<int>")
+    spark = docs.sparkSession
+    encoded = materialize(encode_words(word_counts(docs, pieces), pieces), "encoded")
+    kind, hole = ("<u2", 0xFFFF) if len(pieces.spelled) < 0xFFFF else ("<u4", 0xFFFFFFFF)
+    shared = spark.sparkContext.broadcast(Known(_common(encoded, common), kind))
+    mark = np.array([hole], kind).tobytes()
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("held", pa.binary()), ("missing", pa.list_(pa.string()))])
+
+    def look_up(batches):
+        known, cuts = shared.value.by_word(), Cuts(pieces)
+
+        def each():
+            for doc_id, text, own in rows_of(batches, "doc_id", "text", "mark"):
+                parts = cuts.of(text)
+                found = [known.get(p, mark) for p in parts]
+                yield doc_id, own, b"".join(found), [p for p, f in zip(parts, found, strict=True) if f is mark]
+
+        yield from batched(each(), schema, size=500, weight=lambda row: len(row[2]), most=8 << 20)
+
+    rows = id_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(look_up, "doc_id long, mark long, held binary, missing array<string>")
+    key = (F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
+    asked = rows.where(F.size("missing") > 0).select(*key, F.posexplode("missing").alias("at", "asked"))
+    told = asked.join(encoded, F.col("asked") == F.col("word")).groupBy("nameless", "id", "mark").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "ids"))), lambda x: x["ids"]).alias("told"))
+    told = told.select(F.col("nameless").alias("t_nameless"), F.col("id").alias("t_id"), F.col("mark").alias("t_mark"), "told")
+    ours = rows.select(*key, "held", F.size("missing").alias("holes"))
+    both = ours.join(told, [F.col(c) == F.col(f"t_{c}") for c in ("nameless", "id", "mark")], "left")
+    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def fill(batches):
+        def each():
+            for nameless, doc_id, held, holes, told in rows_of(batches, "nameless", "id", "held", "holes", "told"):
+                ids = np.frombuffer(held, kind).astype(np.int32)
+                if holes:
+                    at = np.flatnonzero(ids == (hole if kind == "<u2" else -1))
+                    if len(at) != holes or told is None or len(told) != holes:
+                        raise RuntimeError("the texts changed while they were encoded")
+                    whole, last = [], 0
+                    for i, new in zip(at.tolist(), told, strict=True):
+                        whole += [ids[last:i], np.array(new, np.int32)]
+                        last = i + 1
+                    ids = np.concatenate([*whole, ids[last:]])
+                yield None if nameless else doc_id, ids
+
+        yield from batched(each(), out, size=500, weight=lambda row: len(row[1]), most=2 << 20)
+
+    return both.select("nameless", "id", "held", "holes", "told").mapInArrow(fill, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:

@@ -395,6 +395,22 @@ def test_words_merge_as_the_library_does(spark):
     assert got == {w: model.encode("\n" + w.replace("\u2581", " "))[len(feed) :] for w in words}
 
 
+def test_long_words_and_rare_words(spark):
+    """Twenty thousand characters without a space, long runs of spaces; and every word rare, so that all are looked up."""
+    import public_tokenizers
+    import sentencepiece as lib
+
+    model = lib.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aeinorst") for _ in range(20_000)), "日本語" * 3000, "a" * 5000, "x\u2581\u2581y" * 50, prose(3, 200), prose(3, 200), None, ""]
+    texts += [" " * n + rng.choice(["", "t", "the", "日", ".", "x y"]) for n in (*range(14, 200, 3), 1000, 20_000)]
+    table = spark.createDataFrame([(i if i != 5 else None, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    for common in (0, 200_000):
+        got = [(r.doc_id, list(r.ids)) for r in sentencepiece.encode(table, common=common).collect()]
+        key = lambda r: (r[0] is None, r[0] or 0)
+        assert sorted(got, key=key) == sorted(((i if i != 5 else None, model.encode(t or "")) for i, t in enumerate(texts) for _ in range(2)), key=key)
+
+
 def test_late_pieces():
     rows = (("a", 0, 0.0), ("b", 1, 0.0), ("c", 2, 0.0), ("abc", 3, -1.0), ("ab", 4, -2.0))
     assert sentencepiece.late_pieces(rows) == (3,)
