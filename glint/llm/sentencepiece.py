@@ -27,7 +27,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,9 @@ from .common import batched, id_text, materialize, rows_of
 SPACE = "\u2581"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Encoded words that every task gets, at most; distinct words that a task counts before it sends them.
-COMMON, COUNTED = 200_000, 400_000
-#: Words whose cuts a worker remembers.
-CACHE = 400_000
+COMMON, COUNTED = 200_000, 200_000
+#: Words that a worker remembers.
+CACHE = 150_000
 #: Longer words don't fit the bit mask of a long; they are folded with a run of bytes.
 MASK = 61
 #: Substring starts of a long word in one row.
@@ -330,30 +329,60 @@ def space_block(pieces: Pieces) -> int:
     return block if held[:3] == [0, block, 2 * block] else 0
 
 
-class Cuts(dict):
+class Cuts:
     """For each white-space word its parts: it is cut where no piece has the two characters side by side."""
 
     def __init__(self, pieces: Pieces):
         self.side = {p[i : i + 2] for p, _, _ in pieces.rows for i in range(len(p) - 1)}
         self.block = space_block(pieces)
 
-    def __missing__(self, word: str) -> list[str]:
-        side, parts, whole = self.side, [], word
+    def __getitem__(self, word: str) -> list[str]:
+        side, parts = self.side, []
         if self.block and len(word) > 3 * self.block:
             spaces = len(word) - len(word.lstrip(SPACE))
             blocks = max(0, spaces // self.block - 2)
             parts, word = [SPACE * self.block] * blocks, word[self.block * blocks :]
         at = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in side), len(word)]
-        parts += [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        if len(whole) < 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[whole] = parts
-        return parts
+        return parts + [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
-    def of(self, text: str) -> list[str]:
-        """The parts of a text in order, none for the empty one."""
-        return list(chain.from_iterable(map(self.__getitem__, _WORD.findall(SPACE + text.replace(" ", SPACE))))) if text else []
+
+def words_of(text: str) -> list[str]:
+    """The white-space words of a text in order, without the sign that begins them where all have one; none for the empty text."""
+    if "  " not in text and SPACE not in text and text[:1] != " " and text[-1:] != " ":
+        return text.split(" ") if text else []
+    return ["\n" + w for w in _WORD.findall(SPACE + text.replace(" ", SPACE))]
+
+
+def spelled(word: str) -> str:
+    """A word of words_of with its sign."""
+    return word[1:] if word[:1] == "\n" and word[1:2] == SPACE else SPACE + word
+
+
+class Encoded(dict):
+    """For each word of words_of its ids as bytes, with a mark for each part that isn't known; `lost` has those parts."""
+
+    def __init__(self, pieces: Pieces, known: dict[str, bytes], mark: bytes):
+        self.cuts, self.known, self.mark = Cuts(pieces), known, mark
+        self.lost: dict[str, list[str]] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        parts = self.cuts[spelled(word)]
+        found = [self.known.get(p, self.mark) for p in parts]
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = ids = b"".join(found)
+        if lost := [p for p, f in zip(parts, found, strict=True) if f is self.mark]:
+            self.lost[word] = lost
+        return ids
+
+    def of(self, text: str) -> tuple[bytes, list[str]]:
+        """The ids of a text, and the unknown parts in order."""
+        if len(self.lost) >= CACHE:
+            self.lost.clear()
+            self.clear()
+        words, lost = words_of(text), self.lost
+        held = b"".join(map(self.__getitem__, words))
+        return held, [p for w in words if w in lost for p in lost[w]]
 
 
 class Known:
@@ -388,12 +417,19 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
     def run(batches):
         cuts, held = Cuts(pieces), Counter()
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+        def send():
+            parts: Counter = Counter()
+            for word, n in held.items():
+                for part in cuts[spelled(word)]:
+                    parts[part] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.string()), pa.array(list(parts.values()), pa.int64())], names=["word", "n"])
+
         for (text,) in rows_of(batches, "text"):
-            held.update(cuts.of(text))
+            held.update(words_of(text))
             if len(held) >= COUNTED:
                 yield send()
-                held.clear()
         if held:
             yield send()
 
@@ -428,13 +464,11 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, common: int = COMMON)
     schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("held", pa.binary()), ("missing", pa.list_(pa.string()))])
 
     def look_up(batches):
-        known, cuts = shared.value.by_word(), Cuts(pieces)
+        encoded = Encoded(pieces, shared.value.by_word(), mark)
 
         def each():
             for doc_id, text, own in rows_of(batches, "doc_id", "text", "mark"):
-                parts = cuts.of(text)
-                found = [known.get(p, mark) for p in parts]
-                yield doc_id, own, b"".join(found), [p for p, f in zip(parts, found, strict=True) if f is mark]
+                yield doc_id, own, *encoded.of(text)
 
         yield from batched(each(), schema, size=500, weight=lambda row: len(row[2]), most=8 << 20)
 
