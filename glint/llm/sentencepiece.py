@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batched, id_text, materialize, rows_of
+from .common import batched, drop_source, id_text, materialize, rows_of
 
 SPACE = "\u2581"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Encoded words that every task gets, at most; distinct words that a task counts before it sends them.
-COMMON, COUNTED = 200_000, 200_000
+COMMON, COUNTED = 100_000, 100_000
 #: Words that a worker remembers.
-CACHE = 150_000
+CACHE = 60_000
 #: Longer words don't fit the bit mask of a long; they are folded with a run of bytes.
 MASK = 61
 #: Substring starts of a long word in one row.
@@ -151,7 +151,8 @@ def _lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     The empty piece at 0 is an edge of every word, so that words without a piece stay.
     """
     keys = words.columns
-    spans = words.select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    # words are dealt before their substrings are made, which then are where they are grouped
+    spans = words.repartition("word").select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
     spans = spans.select(*keys, "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("s")))).alias("n"))
     spans = spans.select(*keys, "s", (F.col("s") + F.col("n")).alias("e"), F.substr("word", F.col("s") + 1, F.col("n")).alias("piece"))
     return _edges(spans, pieces, keys)
@@ -457,7 +458,10 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, common: int = COMMON)
     """
     pieces = pieces or load_pieces()
     spark = docs.sparkSession
-    encoded = materialize(encode_words(word_counts(docs, pieces), pieces), "encoded")
+    # written, since short and long words would each count anew
+    counted = materialize(word_counts(docs, pieces), "words")
+    encoded = materialize(encode_words(counted, pieces), "encoded")
+    drop_source(counted)
     kind, hole = ("<u2", 0xFFFF) if len(pieces.spelled) < 0xFFFF else ("<u4", 0xFFFFFFFF)
     shared = spark.sparkContext.broadcast(Known(_common(encoded, common), kind))
     mark = np.array([hole], kind).tobytes()
