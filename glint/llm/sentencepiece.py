@@ -43,6 +43,8 @@ COMMON, COUNTED = 100_000, 100_000
 CACHE = 60_000
 #: Longer words don't fit the bit mask of a long; they are folded with a run of bytes.
 MASK = 61
+#: Distinct words whose edges one task sorts, in memory.
+PART = 20_000
 #: Substring starts of a long word in one row.
 WINDOW = 64
 
@@ -145,14 +147,15 @@ def _edges(spans: DataFrame, pieces: Pieces, keys: list[str]) -> DataFrame:
     return spans.join(table, "piece").groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def _lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+def _lattice(words: DataFrame, pieces: Pieces, parts: int | None = None) -> DataFrame:
     """words with their edges, for words of any moderate length.
 
     The empty piece at 0 is an edge of every word, so that words without a piece stay.
     """
     keys = words.columns
     # words are dealt before their substrings are made, which then are where they are grouped
-    spans = words.repartition("word").select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    dealt = words.repartition(parts, "word") if parts else words.repartition("word")
+    spans = dealt.select(*keys, F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
     spans = spans.select(*keys, "s", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.least(F.lit(pieces.longest), F.char_length("word") - F.col("s")))).alias("n"))
     spans = spans.select(*keys, "s", (F.col("s") + F.col("n")).alias("e"), F.substr("word", F.col("s") + 1, F.col("n")).alias("piece"))
     return _edges(spans, pieces, keys)
@@ -262,11 +265,12 @@ def _best_path(edges: Column, n: Column, unknown: float) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["path"]
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+def encode_words(words: DataFrame, pieces: Pieces, parts: int | None = None) -> DataFrame:
     """words and ids for each distinct, non-empty word; a column `times` that goes with it stays.
 
     A word of any length is one row of its edges, some 40 bytes for each substring that is
-    a piece: a hundred thousand characters take 60 MB at most. A long word with a late
+    a piece: a hundred thousand characters take 60 MB at most. The words are dealt into `parts`, or as
+    the session has it. A long word with a late
     piece is folded step by step, in time that grows with the square of its length.
     """
     n = F.char_length("word")
@@ -310,7 +314,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         lengthy = F.when(late, _once(_merges_listed(edges, n, late), spell)).otherwise(_once(_merges_long(edges, n), spell_long))
     else:
         brief = lengthy = _once(_best_path(edges, n, max(-s for _, _, s in pieces.rows) + 10.0), spell)
-    return _lattice(short, pieces).select(*words.columns, brief.alias("ids")).unionAll(_long_lattice(long, pieces).select(*words.columns, lengthy.alias("ids")))
+    return _lattice(short, pieces, parts).select(*words.columns, brief.alias("ids")).unionAll(_long_lattice(long, pieces).select(*words.columns, lengthy.alias("ids")))
 
 
 def space_block(pieces: Pieces) -> int:
@@ -460,7 +464,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, common: int = COMMON)
     spark = docs.sparkSession
     # written, since short and long words would each count anew
     counted = materialize(word_counts(docs, pieces), "words")
-    encoded = materialize(encode_words(counted, pieces), "encoded")
+    encoded = materialize(encode_words(counted, pieces, -(-counted.count() // PART) or 1), "encoded")
     drop_source(counted)
     kind, hole = ("<u2", 0xFFFF) if len(pieces.spelled) < 0xFFFF else ("<u4", 0xFFFFFFFF)
     shared = spark.sparkContext.broadcast(Known(_common(encoded, common), kind))
