@@ -525,25 +525,66 @@ def test_short_addresses_stay_distinct(spark):
     assert all(re.fullmatch(r"([a-z]|\.)@([a-z]+\.)?example\.com", r.surrogate) for r in made)
 
 
-def test_search(spark, docs, none):
+@pytest.mark.parametrize("postings, asked", [(search.SHARD, search.ASKED), (2_000, 150)])
+def test_search(spark, docs, none, monkeypatch, postings, asked):
+    """Against brute force, in one shard and block and in many; with copies, repeated rows and ties at the last rank."""
     import collections
     import math
 
-    texts = {i: prose(i, 40) for i in range(300)}
-    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    counts = {i: collections.Counter(t.lower().split()) for i, t in texts.items()}
-    mean = sum(sum(c.values()) for c in counts.values()) / 300
-    df = collections.Counter(w for c in counts.values() for w in c)
+    monkeypatch.setattr(search, "SHARD", postings)
+    monkeypatch.setattr(search, "ASKED", asked)
+    pairs = [(i, prose(i % 260, 40)) for i in range(300)] + [(900 + i, "same words") for i in range(12)] + [(900, "same words"), (950, ""), (951, None), (None, "same words")]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in pairs], "doc_id long, text string, shard string, words int")
+    known = [(i, collections.Counter((t or "").split())) for i, t in pairs if i is not None]
+    mean = sum(sum(c.values()) for _, c in known) / len(known)
+    df = collections.Counter(w for _, c in known for w in c)
+    queries = {q: collections.Counter((dict(pairs)[q]).split()) for q in range(0, 300, 20)} | {900: collections.Counter("same words same words".split()), 950: {}}
+    rows = [(q, dict(pairs)[q]) for q in queries if q != 900] + [(900, "same words"), (900, "Words same"), (7, None), (None, "same"), (8, "nowhereelse")]
     got = {}
-    for r in search.search(table, table.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), k=5).collect():
+    for r in search.search(table, spark.createDataFrame(rows, "query_id long, text string"), k=5).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.doc_id, r.score)
-    for q in range(0, 300, 20):
-        score = {d: sum(n * math.log(1 + (300 - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, n in counts[q].items() if w in c) for d, c in counts.items()}
-        best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5]
-        assert [got[q][i + 1][0] for i in range(5)] == [d for d, _ in best]
-        assert [got[q][i + 1][1] for i in range(5)] == pytest.approx([s for _, s in best])
+    assert set(got) == set(queries) - {950}
+    for q in got:
+        score = [(sum(n * math.log(1 + (len(known) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w, n in queries[q].items() if w in c), d) for d, c in known]
+        best = sorted(((round(s, 9), d) for s, d in score if s > 0), key=lambda x: (-x[0], x[1]))[:5]
+        assert [got[q][i + 1][0] for i in range(len(best))] == [d for _, d in best]
+        assert [got[q][i + 1][1] for i in range(len(best))] == pytest.approx([s for s, _ in best])
     asked = docs.select(F.col("doc_id").alias("query_id"), "text")
-    assert search.search(docs, asked).count() > 0 and search.search(none, asked).count() == 0
+    assert search.search(docs, asked).count() > 0 and search.search(none, asked).count() == 0 and search.search(docs, asked.where("false")).count() == 0
+
+
+def test_search_skips_blocks():
+    """Thousands of documents in many blocks and clusters: the same as scoring all of them, from far fewer postings."""
+    rng = np.random.default_rng(5)
+    docs = []
+    for i in range(4000):
+        words = np.unique(np.concatenate([rng.integers(0, 30, 8), 1000 + 100 * (i % 40) + rng.integers(0, 100, 12)]))
+        docs.append((words, rng.integers(1, 4, len(words)), 40))
+    ids = rng.permutation(4000)
+    index = search.Index.of(docs, ids, 40.0)
+    assert sorted(index.ids) == list(range(4000)) and index.blocks > 40
+    df = np.bincount(np.concatenate([d[0] for d in docs]))
+    read = []
+    index.impact = _Counted(index.impact, read)
+    for q in range(0, 4000, 400):
+        weight = np.log(1 + 4000 / df[docs[q][0]])
+        found, score = index.search(docs[q][0], weight, 10)
+        want = {i: sum(w * c * 2.2 / (c + 1.2) for t, w in zip(docs[q][0], weight, strict=True) for c in [dict(zip(*d[:2], strict=True)).get(t, 0)]) for i, d in zip(ids, docs, strict=True)}
+        best = sorted(want, key=lambda d: (-round(want[d], 9), d))[:10]
+        assert found.tolist() == best and score.tolist() == pytest.approx([want[d] for d in best])
+    postings = sum(np.isin(np.concatenate([d[0] for d in docs]), docs[q][0]).sum() for q in range(0, 4000, 400))
+    assert sum(read) < postings / 2
+
+
+class _Counted:
+    """An array that tells how many of its values are read."""
+
+    def __init__(self, values, read):
+        self.values, self.read = values, read
+
+    def __getitem__(self, place):
+        self.read.append(len(place))
+        return self.values[place]
 
 
 def test_pipeline(spark):
