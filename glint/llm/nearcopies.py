@@ -12,8 +12,9 @@ the original of many edited copies; then all pairs of a bucket that are still in
 components. So the members of a large group aren't compared with each other. Equal sets
 are one point throughout.
 
-In the third round 64-byte tallies rule out most pairs where they are found. A candidate
-pair is first looked at with sketches, 16 bits of every shingle hash:
+In the third round tallies and parities, 64 bytes each, rule out most pairs where they are
+found, before any is kept, so a bucket of many texts holds only pairs that may be alike. A
+candidate pair is first looked at with sketches, 16 bits of every shingle hash:
 sketches never differ in more places than the sets, so what they rule out is ruled out.
 Of the others each component has its best pair confirmed with the sets themselves, and
 again; those that still part components are then confirmed one and all.
@@ -79,6 +80,22 @@ def tally(hashes: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(hashes & 63, minlength=64), 255).astype(np.uint8)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes has each value of the nine bits before the last six: 512 bits.
+
+    Those of two sets differ in no more bits than the sets do in hashes.
+    """
+    return np.packbits(np.bincount(hashes >> 6 & 511, minlength=512) & 1)
+
+
+def may_be_alike(one: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the others (128 bytes each: tally, parities) that set may be alike to; sizes has the sums of both sizes."""
+    maybe = 9 * np.bitwise_count(others[:, 64:] ^ one[64:]).sum(axis=1, dtype=np.int64) <= sizes
+    near = others[maybe, :64].astype(np.int16) - one[:64]
+    maybe[maybe] = 9 * np.abs(near).sum(axis=1, dtype=np.int64) <= sizes[maybe]
+    return maybe
+
+
 def prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order (count, hash), one of which any set alike shares."""
     weight = np.zeros(len(hashes), np.int64)
@@ -125,7 +142,7 @@ def _keys(docs: DataFrame) -> DataFrame:
                 sid = int(np.uint64(xxhash.xxh64_intdigest(found.tobytes())).view(np.int64))
                 new = sid not in seen
                 seen.add(sid)
-                yield doc_id, mark, sid, set_fingerprint(found), len(found), prefix(found, common, counts) if new else [], sketch(found).tobytes() if new else None, tally(found).tobytes() if new else None
+                yield doc_id, mark, sid, set_fingerprint(found), len(found), prefix(found, common, counts) if new else [], sketch(found).tobytes() if new else None, tally(found).tobytes() + parities(found).tobytes() if new else None
 
         yield from batched(each(), schema, weight=lambda row: len(row[5]), most=1 << 21)
 
@@ -145,8 +162,11 @@ def _shared(key, table):
     return table.take(pa.array(np.sort(order[counts[inverse] > 1])))
 
 
-def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray | None) -> np.ndarray:
-    """Pairs (a, b), a < b, in the buckets: neighbours by size, or all that differ in root; each once."""
+def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray | None, marks: np.ndarray | None = None) -> np.ndarray:
+    """Pairs (a, b), a < b, in the buckets: neighbours by size, or all that differ in root; each once.
+
+    With marks, a row of 128 bytes for each set in ascending order of sid, pairs that they rule out are left out.
+    """
     order = np.lexsort((sid, n, token))
     token, sid, n, pos = token[order].copy(), sid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
 
@@ -163,6 +183,7 @@ def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndar
             found.append(np.stack((sid[i], sid[i + k]), axis=1))
     else:
         root = root[order]
+        place = np.searchsorted(np.unique(sid), sid)
         cuts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
         mixed = np.add.reduceat(np.concatenate((root[1:] != root[:-1], [False])) & np.concatenate((token[1:] == token[:-1], [False])), cuts[:-1], dtype=np.int64) > 0 if len(token) else np.zeros(0, bool)
         held = 0
@@ -174,6 +195,8 @@ def bucket_pairs(token: np.ndarray, sid: np.ndarray, n: np.ndarray, pos: np.ndar
                 hi = a + int(np.searchsorted(n[a:b], 5 * n[i] // 4, side="right"))
                 j = np.arange(lo, hi)
                 j = j[(root[j] != root[i]) & fit(np.full(len(j), i), j)]
+                if marks is not None and len(j):
+                    j = j[may_be_alike(marks[place[i]], marks[place[j]], n[i] + n[j])]
                 found.append(np.stack((np.full(len(j), sid[i]), sid[j]), axis=1))
                 held += len(j)
                 if held > 4_000_000:
@@ -216,18 +239,11 @@ def _mixed(key, table):
 
 
 def _apart(key, table):
-    """The pairs of different roots that tallies don't rule out."""
+    """The pairs of different roots that tallies and parities don't rule out."""
     sid = table.column("sid").to_numpy()
-    pairs = bucket_pairs(*(table.column(c).to_numpy() for c in ("token", "sid", "n", "pos", "root")))
-    ids, first = np.unique(sid, return_index=True)
-    tallies = np.frombuffer(b"".join(table.column("tally")[i].as_py() for i in first.tolist()), np.uint8).reshape(-1, 64).astype(np.int16)
-    n = table.column("n").to_numpy()[first].astype(np.int64)
-    kept = [pairs[:0]]
-    for at in range(0, len(pairs), 1 << 16):
-        part = pairs[at : at + (1 << 16)]
-        a, b = np.searchsorted(ids, part[:, 0]), np.searchsorted(ids, part[:, 1])
-        kept.append(part[9 * np.abs(tallies[a] - tallies[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]])
-    return _pairs_of(np.concatenate(kept))
+    _, first = np.unique(sid, return_index=True)
+    marks = np.frombuffer(b"".join(table.column("tally").take(pa.array(first)).to_pylist()), np.uint8).reshape(-1, 128)
+    return _pairs_of(bucket_pairs(*(table.column(c).to_numpy() for c in ("token", "sid", "n", "pos", "root")), marks))
 
 
 def _hubs(key, table):

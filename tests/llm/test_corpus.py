@@ -668,6 +668,27 @@ def test_bucket_pairs_by_brute_force():
     assert want and want <= got
 
 
+def test_marks_rule_out_no_alike_sets_and_few_others_stay():
+    from glint.llm import nearcopies
+
+    rng = np.random.default_rng(11)
+    # one passage in all texts: their shingles meet in its buckets, but a fifth or more of each is its own
+    passage = np.unique(rng.integers(-(2**63), 2**63, 70))
+    sets = [np.unique(np.concatenate((passage, rng.integers(-(2**63), 2**63, 16)))) for _ in range(300)]
+    sets += [np.unique(np.concatenate((s[:-3], rng.integers(-(2**63), 2**63, 3)))) for s in sets[::10]]
+    marks = np.stack([np.concatenate((nearcopies.tally(s), nearcopies.parities(s))) for s in sets])
+    rows = [(int(t), i, len(s), k, i) for i, s in enumerate(sets) for k, t in enumerate(nearcopies.prefix(s, s[:0], s[:0]))]
+    columns = [np.array(c) for c in zip(*rows, strict=True)]
+    found, all_ = ({tuple(p) for p in nearcopies.bucket_pairs(*columns, *more).tolist()} for more in ((marks,), ()))
+    alike = {(i, j) for i, j in all_ if nearcopies.alike(sets[i], sets[j])}
+    assert len(alike) >= 30 and alike <= found <= all_
+    differ = {len(np.setxor1d(sets[i], sets[j])) for i, j in found}
+    assert max(differ) < 27 and len(all_) > 20_000 and len(found) < 2 * len(alike)
+    for i, j in list(all_)[:2000]:
+        off = int(np.bitwise_count(marks[i, 64:] ^ marks[j, 64:]).sum())
+        assert off <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_pipeline_keeps_other_texts_of_an_id(spark):
     """One id with two texts, one of which copies another row's; rows without an id that are copies."""
     import corpus_pipeline
