@@ -576,6 +576,30 @@ def test_search_skips_blocks():
     assert sum(read) < postings / 2
 
 
+def test_search_reads_few_postings_of_frequent_terms():
+    """Frequent words strewn over all blocks, whose maxima say little: only the blocks of the best documents are read."""
+    rng = np.random.default_rng(6)
+    docs = []
+    for i in range(3000):
+        words = np.unique(np.concatenate([rng.integers(0, 300, 60), 1000 + rng.integers(0, 5000, 4)]))
+        docs.append((words, rng.integers(1, 4, len(words)), int(rng.integers(50, 150))))
+    docs += [(docs[i][0], docs[i][1], docs[i][2]) for i in range(0, 3000, 250)]
+    ids, n = rng.permutation(len(docs)), len(docs)
+    index = search.Index.of(docs, ids, 100.0)
+    df = np.bincount(np.concatenate([d[0] for d in docs]))
+    read, impact = [], index.impact
+    index.impact = _Counted(impact, read)
+    asked = [(docs[q][0], np.log(1 + n / df[docs[q][0]])) for q in range(0, 3000, 30)]
+    got = index.search_all(asked, 10) if hasattr(index, "search_all") else [index.search(*a, 10) for a in asked]
+    assert sum(read) < sum(df[a].sum() for a, _ in asked) / 2
+    for (query, weight), (found, score) in zip(asked[::10], got[::10], strict=True):
+        w = dict(zip(query.tolist(), weight.tolist(), strict=True))
+        want = {i: sum(w[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * m / 100)) for t, c in zip(ts.tolist(), cs.tolist(), strict=True) if t in w) for i, (ts, cs, m) in zip(ids.tolist(), docs, strict=True)}
+        best = sorted(want, key=lambda d: (-round(want[d], 9), d))[:10]
+        assert found.tolist() == best and score.tolist() == pytest.approx([want[d] for d in best])
+        assert index.search(query, weight, 10)[1].tolist() == score.tolist()
+
+
 class _Counted:
     """An array that tells how many of its values are read."""
 
