@@ -10,7 +10,8 @@ aggregate.
 The texts aren't dealt out for that. Their words are counted where they lie; of all encoded
 words the COMMON most frequent, a bounded table, go to every task and serve most places.
 The ids of a document, two bytes each with a mark at every place of a rarer word, are then
-joined with the encodings of just those words.
+joined with the encodings of just those words. The ids travel packed: those of a document
+by zstd, those of a rarer word as bytes behind its place.
 
 For a unigram model the fold is Viterbi's: the best score at each end, and the edge that
 got there. The scores of a BPE model are ranks of merges, and a best path over them isn't
@@ -393,28 +394,27 @@ class Encoded(dict):
 class Known:
     """The common words with their ids; as bytes from the driver, as a dictionary in a worker."""
 
-    def __init__(self, table: pa.Table, kind: str):
-        self.table, self.kind, self.ids = table, kind, None
+    def __init__(self, table: pa.Table):
+        self.table, self.ids = table, None
 
     def __getstate__(self):
-        return self.table, self.kind, None
+        return self.table, None
 
     def __setstate__(self, state):
-        self.table, self.kind, self.ids = state
+        self.table, self.ids = state
 
     def by_word(self) -> dict[str, bytes]:
         if self.ids is None:
             self.ids = {}
             for batch in self.table.to_batches():
-                self.ids.update(zip(batch.column("word").to_pylist(), packed(batch.column("ids"), self.kind), strict=True))
+                self.ids.update(zip(batch.column("word").to_pylist(), batch.column("ids").to_pylist(), strict=True))
         return self.ids
 
 
-def packed(lists: pa.ListArray, kind: str) -> list[bytes]:
-    """Each list of ids as a run of bytes."""
-    raw = lists.values.to_numpy(zero_copy_only=False).astype(kind).tobytes()
-    ends, size = lists.offsets.to_numpy().tolist(), np.dtype(kind).itemsize
-    return [raw[size * i : size * j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+def packed(ids: Column, kind: str) -> Column:
+    """An array of ids as a run of bytes, of the unsigned type `kind` in network order."""
+    digits = 2 * np.dtype(kind).itemsize
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), digits, "0")), ""))
 
 
 def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
@@ -442,7 +442,7 @@ def word_counts(docs: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _common(encoded: DataFrame, most: int) -> pa.Table:
-    """word and ids of the most frequent words, at most so many; words of one magnitude go together."""
+    """word and packed ids of the most frequent words, at most so many; words of one magnitude go together."""
     size = F.floor(F.log2("times") * 16).cast("int")
     counts = sorted(((r.size, r["count"]) for r in encoded.groupBy(size.alias("size")).count().collect()), reverse=True)
     least, total = None, 0
@@ -462,51 +462,58 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, common: int = COMMON)
     """
     pieces = pieces or load_pieces()
     spark = docs.sparkSession
+    kind, hole = (">u2", 0xFFFF) if len(pieces.spelled) < 0xFFFF else (">u4", 0xFFFFFFFF)
     # written, since short and long words would each count anew
     counted = materialize(word_counts(docs, pieces), "words")
-    encoded = materialize(encode_words(counted, pieces, -(-counted.count() // PART) or 1), "encoded")
+    encoded = encode_words(counted, pieces, -(-counted.count() // PART) or 1).withColumn("ids", packed(F.col("ids"), kind))
+    encoded = materialize(encoded, "encoded")
     drop_source(counted)
-    kind, hole = ("<u2", 0xFFFF) if len(pieces.spelled) < 0xFFFF else ("<u4", 0xFFFFFFFF)
-    shared = spark.sparkContext.broadcast(Known(_common(encoded, common), kind))
+    shared = spark.sparkContext.broadcast(Known(_common(encoded, common)))
     mark = np.array([hole], kind).tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("held", pa.binary()), ("missing", pa.list_(pa.string()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("size", pa.int64()), ("held", pa.binary()), ("missing", pa.list_(pa.string()))])
 
     def look_up(batches):
-        encoded = Encoded(pieces, shared.value.by_word(), mark)
+        encoded, codec = Encoded(pieces, shared.value.by_word(), mark), pa.Codec("zstd", compression_level=3)
 
         def each():
             for doc_id, text, own in rows_of(batches, "doc_id", "text", "mark"):
-                yield doc_id, own, *encoded.of(text)
+                held, missing = encoded.of(text)
+                yield doc_id, own, len(held), codec.compress(held, asbytes=True), missing
 
-        yield from batched(each(), schema, size=500, weight=lambda row: len(row[2]), most=8 << 20)
+        yield from batched(each(), schema, size=500, weight=lambda row: row[2], most=8 << 20)
 
-    rows = id_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(look_up, "doc_id long, mark long, held binary, missing array<string>")
+    rows = id_text(docs).withColumn("mark", F.xxhash64("text")).mapInArrow(look_up, "doc_id long, mark long, size long, held binary, missing array<string>")
     key = (F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark")
     asked = rows.where(F.size("missing") > 0).select(*key, F.posexplode("missing").alias("at", "asked"))
-    told = asked.join(encoded, F.col("asked") == F.col("word")).groupBy("nameless", "id", "mark").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "ids"))), lambda x: x["ids"]).alias("told"))
+    # places of four bytes in network order sort as numbers do
+    placed = F.concat(F.unhex(F.lpad(F.hex("at"), 8, "0")), "ids")
+    told = asked.join(encoded, F.col("asked") == F.col("word")).select("nameless", "id", "mark", placed.alias("placed"))
+    told = told.groupBy("nameless", "id", "mark").agg(F.array_sort(F.collect_set("placed")).alias("told"))
     told = told.select(F.col("nameless").alias("t_nameless"), F.col("id").alias("t_id"), F.col("mark").alias("t_mark"), "told")
-    ours = rows.select(*key, "held", F.size("missing").alias("holes"))
+    ours = rows.select(*key, "size", "held", F.size("missing").alias("holes"))
     both = ours.join(told, [F.col(c) == F.col(f"t_{c}") for c in ("nameless", "id", "mark")], "left")
     out = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def fill(batches):
+        codec = pa.Codec("zstd")
+
         def each():
-            for nameless, doc_id, held, holes, told in rows_of(batches, "nameless", "id", "held", "holes", "told"):
-                ids = np.frombuffer(held, kind).astype(np.int32)
+            for nameless, doc_id, size, held, holes, told in rows_of(batches, "nameless", "id", "size", "held", "holes", "told"):
+                ids = np.frombuffer(codec.decompress(held, size, asbytes=True), kind).astype(np.int32)
                 if holes:
-                    at = np.flatnonzero(ids == (hole if kind == "<u2" else -1))
+                    at = np.flatnonzero(ids == (hole if kind == ">u2" else -1))
                     if len(at) != holes or told is None or len(told) != holes:
                         raise RuntimeError("the texts changed while they were encoded")
                     whole, last = [], 0
                     for i, new in zip(at.tolist(), told, strict=True):
-                        whole += [ids[last:i], np.array(new, np.int32)]
+                        whole += [ids[last:i], np.frombuffer(new, kind, offset=4).astype(np.int32)]
                         last = i + 1
                     ids = np.concatenate([*whole, ids[last:]])
                 yield None if nameless else doc_id, ids
 
         yield from batched(each(), out, size=500, weight=lambda row: len(row[1]), most=2 << 20)
 
-    return both.select("nameless", "id", "held", "holes", "told").mapInArrow(fill, "doc_id long, ids array<int>")
+    return both.select("nameless", "id", "size", "held", "holes", "told").mapInArrow(fill, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -411,6 +412,29 @@ def test_long_words_and_rare_words(spark):
         assert sorted(got, key=key) == sorted(((i if i != 5 else None, model.encode(t or "")) for i, t in enumerate(texts) for _ in range(2)), key=key)
 
 
+def test_ids_travel_packed(spark, monkeypatch):
+    """What is shuffled for texts of rare words, and the same ids as the library's."""
+    import public_tokenizers
+    import sentencepiece as library
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice(["tion", "er", "an", "the", "ou", "ing", "st", "e", "a"]) for _ in range(rng.randint(2, 5))) for _ in range(600)) for _ in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent():
+        time.sleep(2)
+        known = store.executorList(True)
+        return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+    before = sent()
+    got = {r.doc_id: list(r.ids) for r in sentencepiece.encode(table, common=3_000).collect()}
+    ratio = (sent() - before) / sum(map(len, texts))
+    model = library.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert all(got[i] == model.encode(t) for i, t in enumerate(texts))
+    assert 0 < ratio < 2.1
+
+
 def test_late_pieces():
     rows = (("a", 0, 0.0), ("b", 1, 0.0), ("c", 2, 0.0), ("abc", 3, -1.0), ("ab", 4, -2.0))
     assert sentencepiece.late_pieces(rows) == (3,)
