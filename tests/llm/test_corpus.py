@@ -624,6 +624,41 @@ def test_search_reads_few_postings_of_frequent_terms():
         assert index.search(query, weight, 10)[1].tolist() == score.tolist()
 
 
+def test_search_rows_follow_queries(spark, monkeypatch):
+    """Many shards don't make more interim rows: those of a lane pass on what they found, and the results stay the same."""
+    table = spark.createDataFrame([(i, prose(i % 170, 30)) for i in range(400)], "doc_id long, text string")
+    asked = table.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    rows = lambda: sorted(tuple(r) for r in search.search(table, asked).collect())
+    want, paths, write = rows(), [], search.write_table
+    monkeypatch.setattr(search, "SHARD", 100)
+    tasks = []
+    monkeypatch.setattr(search, "write_table", lambda df, name, *by: paths.append((name, write(df, name, *by))) or tasks.append(name == "found" and df.rdd.getNumPartitions()) or paths[-1][1])
+    assert rows() == want
+    assert max(tasks) >= spark.sparkContext.defaultParallelism  # the lanes are searched side by side
+    found = [spark.read.parquet(path).count() for name, path in paths if name == "found"]
+    assert 0 < sum(found) <= 20 * 10 * (spark.sparkContext.defaultParallelism + 1)
+
+
+def test_search_skips_what_other_shards_beat():
+    """A shard is read less after another one of the same kind, and the best of both are those of one index."""
+    rng = np.random.default_rng(8)
+    docs = [(np.unique(rng.integers(0, 400, 70)), 100) for _ in range(4000)]
+    docs = [(words, rng.integers(1, 4, len(words)), n) for words, n in docs]
+    ids = rng.permutation(4000)
+    asked = [(docs[q][0], rng.random(len(docs[q][0])) + 0.1) for q in range(0, 4000, 100)]
+    shards = [search.Index.of(docs[a : a + 2000], ids[a : a + 2000], 100.0) for a in (0, 2000)]
+    alone, after = [], []
+    shards[1].impact = _Counted(whole := shards[1].impact, alone)
+    shards[1].search_all(asked, 10)
+    shards[1].impact = _Counted(whole, after)
+    best = search.Best(len(asked), 10)
+    for shard in shards:
+        best.search(shard, asked)
+    assert sum(after) < sum(alone)
+    for (found, score), (ids_of, scores) in zip(best.held, search.Index.of(docs, ids, 100.0).search_all(asked, 10), strict=True):
+        assert found.tolist() == ids_of.tolist() and score.tolist() == scores.tolist()
+
+
 class _Counted:
     """An array that tells how many of its values are read."""
 
