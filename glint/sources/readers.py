@@ -129,12 +129,20 @@ def iterate(df: DataFrame) -> Iterator[tuple[float, int, int, int]]:
 
 def from_arrays(spark: SparkSession, xs, ys, ts, ps, on_overflow: str = "error") -> DataFrame:
     """Events of four arrays of one length."""
-    import pandas as pd
+    import pyarrow as pa
 
     n = {len(a) for a in (xs, ys, ts, ps)}
     if len(n) > 1:
         raise ValueError("arrays of different lengths")
     if n == {0}:
         return spark.createDataFrame([], EVENTS)
-    rows = pd.DataFrame({"seq": np.arange(len(xs)), "t": np.asarray(ts, float), "x": np.asarray(xs, np.int64), "y": np.asarray(ys, np.int64), "p": np.asarray(ps, np.int64)})
+    rows = pa.table({"seq": np.arange(len(xs)), "t": np.asarray(ts, float), "x": np.asarray(xs, np.int64), "y": np.asarray(ys, np.int64), "p": np.asarray(ps, np.int64)})
     return narrow(spark.createDataFrame(rows, "seq long, t double, x long, y long, p long"), on_overflow)
+
+
+def from_array_blocks(blocks: DataFrame, on_overflow: str = "error") -> DataFrame:
+    """Events of rows first, xs, ys, ts, ps: arrays of one length, and the seq of their first event."""
+    zipped = F.arrays_zip("xs", "ys", "ts", "ps")
+    same = F.coalesce((F.size("xs") == F.size("ys")) & (F.size("xs") == F.size("ts")) & (F.size("xs") == F.size("ps")), F.lit(False))
+    rows = blocks.select("first", F.posexplode(F.when(same, zipped).otherwise(F.raise_error(F.lit("arrays of different lengths")))).alias("_at", "_event"))
+    return narrow(rows.select((F.col("first") + F.col("_at")).alias("seq"), *(F.col(f"_event.{c}s").alias(c) for c in "txyp")), on_overflow)

@@ -260,3 +260,54 @@ def test_exact_edges(spark):
         edges.append(edges[-1] + 0.1)
     want = {t: next(i for i in range(len(edges) - 1) if edges[i] <= t < edges[i + 1]) for t in (0.5, 0.6, 0.7, 1.4000000000000001, 1.5)}
     assert {r.t: r.w for r in windows.tumbling_exact(e, 0.1).collect()} == want
+
+
+@pytest.fixture
+def nothing_on_the_driver(spark, monkeypatch):
+    """What brings rows of a table to the driver, but for collect, fails."""
+
+    def fail(self, *args, **kwargs):
+        raise AssertionError("rows go to the driver")
+
+    for name in ("toPandas", "toLocalIterator", "toArrow"):
+        monkeypatch.setattr(type(spark.range(0)), name, fail)
+
+
+def _events(spark, n):
+    """Events whose seq has gaps, dealt in another order than theirs; with their rows as seq, t, x, y, p from 0."""
+    i = F.col("id")
+    e = spark.range(n).select((i * 3 + 5).alias("seq"), (i / 7).alias("t"), (i * 31 % 65_536).cast("int").alias("x"), (i * 17 % 65_536).cast("int").alias("y"), (i % 256 - 128).cast("int").alias("p"))
+    return e.repartition(5, F.xxhash64("seq")), [(i, i / 7, i * 31 % 65_536, i * 17 % 65_536, i % 256 - 128) for i in range(n)]
+
+
+def _query_over(spark, name, n, tmp_path):
+    """The rows of a query over n events whose seq is from 1, in their order."""
+    from glint.plans.queries import QUERIES
+
+    i = F.col("id")
+    spark.range(1, n + 1).select(i.alias("event_id"), F.timestamp_micros(i * 1_000_003).cast("timestamp_ntz").alias("ts"), (i * 5).alias("user_id"), F.lit("view").alias("event_type")).repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    want = [(k - 1, k * 1_000_003 / 1e6, k * 5 % 64, k * 12 % 48, 0) for k in range(1, n + 1)]
+    made = QUERIES[name](spark, str(tmp_path))
+    return sorted(tuple(r) for r in made.collect()), want
+
+
+def test_array_blocks(spark, nothing_on_the_driver):
+    e, want = _events(spark, 5_000)
+    blocks = writers.to_array_blocks(e, 700)
+    assert sorted((r.first, len(r.xs)) for r in blocks.select("first", "xs").collect()) == [(a, min(700, 5_000 - a)) for a in range(0, 5_000, 700)]
+    assert [tuple(r) for r in readers.from_array_blocks(blocks).orderBy("seq").collect()] == want
+    assert readers.from_array_blocks(writers.to_array_blocks(e.limit(0))).count() == 0
+    uneven = spark.createDataFrame([(0, [1, 2], [1], [0.5, 0.6], [1, 1])], "first long, xs array<long>, ys array<long>, ts array<double>, ps array<long>")
+    with pytest.raises(Exception, match="different lengths"):
+        readers.from_array_blocks(uneven).collect()
+
+
+def test_array_source_leaves_events_where_they_lie(spark, nothing_on_the_driver, tmp_path):
+    got, want = _query_over(spark, "array_source", 40_000, tmp_path)
+    assert got == want
+
+
+def test_arrays_on_the_driver(spark):
+    e, want = _events(spark, 3_000)
+    assert [tuple(a) for a in zip(*(x.tolist() for x in writers.to_arrays(e)), strict=True)] == [(x, y, t, p) for _, t, x, y, p in want]
+    assert [(len(a), a.dtype.kind) for a in writers.to_arrays(e.limit(0))] == [(0, "i"), (0, "i"), (0, "f"), (0, "i")]
