@@ -781,3 +781,39 @@ def test_pipeline_keeps_other_texts_of_an_id(spark):
     kept = corpus_pipeline.near_duplicate_stage(spark, table, "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (2, b), (0, c), (3, "")])
     assert corpus_pipeline.near_duplicate_stage(spark, table.limit(0), "").count() == 0
+
+
+def test_search_workers_give_memory_back(spark, monkeypatch, tmp_path):
+    """A worker that has built or searched a large shard doesn't keep what that took, and texts are split a few at a time."""
+    rng = np.random.default_rng(5)
+    table = spark.createDataFrame([(int(i), " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 900)) for i in range(700)], "doc_id long, text string").coalesce(1)
+    asked = table.where("doc_id % 50 = 0").selectExpr("doc_id as query_id", "text")
+    want = sorted(tuple(r) for r in search.search(table, asked).collect())
+    log, give_back = str(tmp_path / "log"), search._give_back
+
+    def told():
+        with open(log, "a") as f:
+            f.write("x")
+        give_back()
+
+    monkeypatch.setattr(search, "_give_back", told)
+    monkeypatch.setattr(search, "SHARD", 4_000)
+    monkeypatch.setattr(search, "SPLIT", 100)
+    monkeypatch.setattr(search, "STRETCH", 64)
+    assert sorted(tuple(r) for r in search.search(table, asked).collect()) == want
+    assert len((tmp_path / "log").read_text()) >= 8  # once for each shard built, and once for each one searched
+
+
+def test_search_after_giving_back_keeps_little(monkeypatch):
+    import psutil
+
+    held = [np.ones(3_000_000 // 8) for _ in range(100)]  # below what the system maps by itself, once such have been freed
+    del held[::2], held
+    search._give_back()
+    before = psutil.Process().memory_info().rss
+    rows = [np.ones(20_000 // 8) for _ in range(15_000)]
+    last = np.ones(10)
+    most = psutil.Process().memory_info().rss
+    del rows
+    search._give_back()
+    assert last.sum() == 10 and psutil.Process().memory_info().rss - before < (most - before) / 4
