@@ -10,6 +10,12 @@ def in_frame(width: int, height: int) -> Column:
     return F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
 
 
+def rounded(v: Column) -> Column:
+    """v to the nearest whole number, halves away from zero: what F.round gives, which makes a decimal of each value."""
+    near = F.rint(v)
+    return F.when(F.abs(v - near) == 0.5, v + F.signum(v) * 0.5).otherwise(near)  # v - near is exact
+
+
 def clamp(c: Column, low, high) -> Column:
     return F.greatest(F.least(c, F.lit(high)), F.lit(low))
 

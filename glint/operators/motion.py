@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import in_frame, with_row
+from ..functions.pixels import in_frame, rounded, with_row
 from ..schema import PIXEL_MAX
 
 
@@ -25,7 +25,7 @@ class Objective(Protocol):
 
 def constant_flow(t_ref: Column) -> tuple[Column, Column]:
     """Each pixel moved by velocity * (t - t_ref) and rounded."""
-    return tuple(F.round(F.col(c) + F.col(v) * (F.col("t") - t_ref)) for c, v in (("x", "vx"), ("y", "vy")))
+    return tuple(rounded(F.col(c) + F.col(v) * (F.col("t") - t_ref)) for c, v in (("x", "vx"), ("y", "vy")))
 
 
 def variance(n: Column, pixels: int) -> Column:
@@ -64,15 +64,19 @@ def grid(ranges: list[tuple[float, float, float]]) -> list[tuple[int, float, flo
 def grid_scores(df: DataFrame, ranges: list[tuple[float, float, float]], *, width: int, height: int, warp: Warp = constant_flow, objective: Objective = variance) -> DataFrame:
     """gid, vx, vy, score of every candidate; 0 if no event lands in the frame.
 
-    Candidates are numbers that the caller lists, so they are broadcast to the events;
-    counts are added up before the shuffle, one row for each candidate and pixel.
+    Candidates are numbers that the caller lists, so they are broadcast to the events, which
+    are dealt to all cores first, since each meets every candidate; counts are added up before
+    the shuffle, one row for each candidate and pixel.
     """
-    candidates = df.sparkSession.createDataFrame(grid(ranges), "gid int, vx double, vy double")
-    whole = with_row(df, df.agg(F.max_by("t", "seq").alias("_ref"))).select("t", "x", "y", "_ref")
+    spark, pixels = df.sparkSession, width * height
+    candidates = spark.createDataFrame(grid(ranges), "gid int, vx double, vy double")
+    dealt = df.select("seq", "t", "x", "y").repartition(2 * spark.sparkContext.defaultParallelism, "seq")
+    whole = with_row(dealt, df.agg(F.max_by("t", "seq").alias("_ref"))).select("t", "x", "y", "_ref")
     moved = whole.join(F.broadcast(candidates))
     x, y = warp(F.col("_ref"))
-    seen = moved.select("gid", x.alias("x"), y.alias("y")).where(f"x between 0 and {PIXEL_MAX} and y between 0 and {PIXEL_MAX}").where(in_frame(width, height))
-    counts = seen.select("gid", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")).groupBy("gid", "x", "y").agg(F.count("*").alias("n"))
+    seen = moved.select("gid", x.alias("x"), y.alias("y")).where(in_frame(min(width, PIXEL_MAX + 1), min(height, PIXEL_MAX + 1)))
+    cell = F.col("gid").cast("long") * pixels + F.col("y").cast("long") * width + F.col("x").cast("long")  # one number, so that counting is cheap
+    counts = seen.groupBy(cell.alias("_cell")).agg(F.count("*").alias("n")).select(F.expr(f"cast(_cell div {pixels} as int)").alias("gid"), "n")
     scores = counts.groupBy("gid").agg(objective(F.col("n"), width * height).alias("score"))
     return candidates.join(scores, "gid", "left").select("gid", "vx", "vy", F.coalesce("score", F.lit(0.0)).alias("score"))
 

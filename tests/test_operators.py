@@ -336,3 +336,31 @@ def test_binary_files_of_many_parts(spark, tmp_path, single_file):
     assert [tuple(r) for r in readers.read_events(spark, path).orderBy("seq").collect()] == [(i, math.sqrt(t) - 20, x, y, p) for i, t, x, y, p in want]
     writers.write_binary(e.limit(0), path + "0", single_file=single_file)
     assert readers.read_binary(spark, path + "0").count() == 0
+
+
+def test_rounding_is_that_of_decimals(spark):
+    from glint.functions.pixels import rounded
+
+    rng = np.random.default_rng(2)
+    odd = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, -0.49999999999999994, 0.0, 1e-300, 2.0**52 + 0.5, 2.0**53 + 2, -1e300, 4503599627370495.5, math.inf, -math.inf, math.nan, 65_535.49999999999, 65_535.5]
+    values = [*odd, *(np.nextafter(k + 0.5, d) for k in range(-20, 20) for d in (-99, 99)), *(rng.normal(size=2000) * 1000), *(rng.integers(-999, 999, 500) + 0.5)]
+    rows = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").select(F.round("v").alias("a"), rounded(F.col("v")).alias("b"), F.col("v"))
+    assert rows.where(~F.col("a").eqNullSafe(F.col("b"))).collect() == []
+
+
+def test_grid_search_is_dealt_to_all_cores(spark):
+    """A stream in one partition; candidates meet the events in several tasks, and no value is rounded by way of decimals."""
+    e = make(spark, [0, 1, 2, 3, 4] * 40, [2] * 200, np.arange(200.0), [1] * 200).coalesce(1)
+    scores = motion.grid_scores(e, [(-1.0, 1.0, 0.25), (-0.5, 0.5, 0.5)], width=8, height=4)
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan and "RepartitionByExpression [seq" in plan
+    want = []
+    for gid, vx, vy in motion.grid([(-1.0, 1.0, 0.25), (-0.5, 0.5, 0.5)]):
+        counts = {}
+        for i in range(200):
+            x, y = (math.copysign(math.floor(abs(v) + 0.5), v) for v in (i % 5 + vx * (i - 199.0), 2 + vy * (i - 199.0)))
+            if 0 <= x < 8 and 0 <= y < 4:
+                counts[x + 0.0, y + 0.0] = counts.get((x + 0.0, y + 0.0), 0) + 1
+        want.append((gid, vx, vy, sum(n * n for n in counts.values()) / 32 - (sum(counts.values()) / 32) ** 2))
+    got = sorted(tuple(r) for r in scores.collect())
+    assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
