@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..schema import EVENTS, narrow, numbered
 
@@ -122,11 +125,29 @@ def read_events(spark: SparkSession, path: str, *, format: str | None = None, t_
 
 
 def iterate(df: DataFrame) -> Iterator[tuple[float, int, int, int]]:
-    """The events one by one as (t, x, y, p), a partition at a time on the driver."""
+    """The events one by one as (t, x, y, p), a partition at a time on the driver. iterate_apart brings none there."""
     for r in df.orderBy("seq").toLocalIterator():
         yield r.t, r.x, r.y, r.p
 
 
+def iterate_apart(df: DataFrame, each: Callable[[Iterator[tuple[float, int, int, int]]], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that `each` makes of the events one by one as (t, x, y, p).
+
+    It is called by every task, with the events of a range of seq in its order; the ranges
+    follow each other and together have all events. Events and rows pass one after the other.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = iter(each(event for batch in batches for event in zip(*(c.to_pylist() for c in batch.columns), strict=True)))
+        while some := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+    kinds = to_arrow_schema(T.StructType.fromDDL(schema))
+    return df.orderBy("seq").select("t", "x", "y", "p").mapInArrow(run, schema)
+
+
 def from_arrays(spark: SparkSession, xs, ys, ts, ps, on_overflow: str = "error") -> DataFrame:
     """Events of four arrays of one length."""
     import pyarrow as pa

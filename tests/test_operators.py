@@ -364,3 +364,33 @@ def test_grid_search_is_dealt_to_all_cores(spark):
         want.append((gid, vx, vy, sum(n * n for n in counts.values()) / 32 - (sum(counts.values()) / 32) ** 2))
     got = sorted(tuple(r) for r in scores.collect())
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_iterator_leaves_events_where_they_lie(spark, nothing_on_the_driver, tmp_path):
+    from glint.plans.queries import QUERIES
+
+    _, want = _query_over(spark, "block", 40_000, tmp_path)
+    assert sorted(tuple(r) for r in QUERIES["iterator"](spark, str(tmp_path)).collect()) == [r[1:] for r in want]
+
+
+def test_iterating_apart(spark):
+    e, want = _events(spark, 25_000)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+
+    def numbers(events):
+        for i, (t, x, y, p) in enumerate(events):
+            yield i, t, x, y, p
+            if p == 0:
+                yield -1, None, None, None, None
+
+    try:
+        rows = [tuple(r) for r in readers.iterate_apart(e, numbers, "i long, t double, x int, y int, p int").collect()]
+        assert list(readers.iterate(e)) == [r[1:] for r in want]
+        assert readers.iterate_apart(e.limit(0), numbers, "i long, t double, x int, y int, p int").count() == 0
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    assert [r[1:] for r in rows if r[0] >= 0] == [r[1:] for r in want]  # a task's in their order, and the tasks in theirs
+    assert sum(r[0] == 0 for r in rows) == 6 and sum(r[0] == -1 for r in rows) == sum(r[4] == 0 for r in want)
