@@ -66,8 +66,8 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for where, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = content.as_py()
-                rows = np.frombuffer(raw, RECORD, len(raw) // RECORD.itemsize)
+                raw = content.as_buffer()  # no copy
+                rows = np.frombuffer(raw, RECORD, raw.size // RECORD.itemsize)
                 for at in range(0, len(rows), 1 << 16):
                     r = rows[at : at + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array([where] * len(r)), pa.array(np.arange(at, at + len(r))), pa.array(r["t"].copy()), *(pa.array(r[c].astype(np.int32)) for c in "xyp")], names=["path", "at", "t", "x", "y", "p"])

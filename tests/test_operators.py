@@ -394,3 +394,12 @@ def test_iterating_apart(spark):
             spark.conf.set(name, value)
     assert [r[1:] for r in rows if r[0] >= 0] == [r[1:] for r in want]  # a task's in their order, and the tasks in theirs
     assert sum(r[0] == 0 for r in rows) == 6 and sum(r[0] == -1 for r in rows) == sum(r[4] == 0 for r in want)
+
+
+def test_binary_files_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(writers, "PER_FILE", 2, raising=False)
+    e, want = _events(spark, 90_000)
+    writers.write_binary(e.coalesce(1), str(tmp_path / "e.bin"), single_file=False)
+    sizes = [f.stat().st_size for f in (tmp_path / "e.bin").glob("part-*")]
+    assert max(sizes) <= 2 * 10_000 * 16 and sum(sizes) == 90_000 * 16
+    assert [tuple(r) for r in readers.read_binary(spark, str(tmp_path / "e.bin")).orderBy("seq").collect()] == want
